@@ -98,15 +98,21 @@ def fit(stats: DataFrame, labels: DataFrame, train: Column, label_col: str = "qu
     rows = stats.join(y, "doc_id").select("stats", "y", F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(2)).cast("int").alias("fold")).persist()
     d = len(NAMES)
 
-    def pack(sums, key):
-        return pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([v.ravel().tolist() for v in sums.values()], pa.list_(pa.float64()))], names=[key, "s"])
+    def pack(sums):
+        """A row of numbers for each row of each sum."""
+        keys = [(k, i) for k, v in sums.items() for i in range(len(v))]
+        return pa.RecordBatch.from_arrays([pa.array([k for k, _ in keys], pa.int32()), pa.array([i for _, i in keys], pa.int32()), pa.array([sums[k][i].tolist() for k, i in keys], pa.list_(pa.float64()))], names=["k", "i", "s"])
+
+    def add(t: pa.Table) -> pa.Table:
+        total = np.sum(t.column("s").to_pylist(), axis=0)
+        return pa.table({"k": t.column("k").slice(0, 1), "i": t.column("i").slice(0, 1), "s": pa.array([total.tolist()], pa.list_(pa.float64()))})
 
     def total(fn) -> dict[int, np.ndarray]:
-        """Sums over partitions, added up element by element."""
-        long = rows.mapInArrow(fn, "k int, s array<double>").select("k", F.posexplode("s").alias("p", "v")).groupBy("k", "p").agg(F.sum("v").alias("v"))
-        out: dict[int, dict[int, float]] = {}
-        for r in long.toLocalIterator():
-            out.setdefault(r.k, {})[r.p] = r.v
+        """Sums over partitions: every task sends one partial sum, added up row by row."""
+        ddl = "k int, i int, s array<double>"
+        out: dict[int, dict[int, list[float]]] = {}
+        for r in rows.mapInArrow(fn, ddl).groupBy("k", "i").applyInArrow(add, ddl).toLocalIterator():
+            out.setdefault(r.k, {})[r.i] = r.s
         return {k: np.array([v[i] for i in range(len(v))]) for k, v in out.items()}
 
     def columns(b):
@@ -118,9 +124,9 @@ def fit(stats: DataFrame, labels: DataFrame, train: Column, label_col: str = "qu
             if b.num_rows:
                 x, t, _ = columns(b)
                 s += np.concatenate([x.sum(0), (x * x).sum(0), [len(x), t.sum()]])
-        yield pack({0: s}, "k")
+        yield pack({0: s[None]})
 
-    s = total(moments).get(0, np.zeros(2 * d + 2))
+    s = total(moments).get(0, np.zeros((1, 2 * d + 2)))[0]
     n = s[-2]
     rng = np.random.default_rng(SEED)
     width = width or math.sqrt(d)
@@ -143,9 +149,9 @@ def fit(stats: DataFrame, labels: DataFrame, train: Column, label_col: str = "qu
                 for k in (0, 1):
                     own = fold == k
                     sums[k] += z[own].T @ np.column_stack([z[own], t[own]])
-        yield pack(sums, "k")
+        yield pack(sums)
 
-    eq = {k: v.reshape(f, f + 1) for k, v in total(equations).items()}
+    eq = total(equations)
     solve = lambda e: np.linalg.solve(e[:, :f] + RIDGE * np.eye(f), e[:, f])
     m.beta = np.array([solve(eq[1]), solve(eq[0]), solve(eq[0] + eq[1])])
 
@@ -158,9 +164,9 @@ def fit(stats: DataFrame, labels: DataFrame, train: Column, label_col: str = "qu
                 at = np.clip(((raw + 0.5) * BINS / 2).astype(int), 0, BINS - 1)
                 np.add.at(h, (0, at), 1)
                 np.add.at(h, (1, at), t)
-        yield pack({0: h}, "k")
+        yield pack({0: h})
 
-    count, ones = total(histogram)[0].reshape(2, BINS)
+    count, ones = total(histogram)[0]
     rows.unpersist()
     have = np.flatnonzero(count)
     m.knots = isotonic((have + 0.5) * 2 / BINS - 0.5, ones[have] / count[have], count[have])
