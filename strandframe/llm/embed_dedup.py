@@ -122,17 +122,20 @@ def _descend(points: DataFrame, lists: DataFrame, k: int) -> DataFrame:
     from pyspark.sql.window import Window
 
     # hubs pass on a bounded list each round; links that this misses are reached through others
-    near = both.withColumn("r", F.row_number().over(Window.partitionBy("a").orderBy(F.xxhash64("a", "b")))).where(F.col("r") <= 2 * k).select("a", "b")
+    near = both.withColumn("r", F.row_number().over(Window.partitionBy("a").orderBy(F.xxhash64("a", "b")))).where(F.col("r") <= k).select("a", "b")
     hop = near.join(near.select(F.col("a").alias("b"), F.col("b").alias("c")), "b").select("a", "c").where("a < c").distinct()
     hop = hop.join(lists.select("a", F.col("b").alias("c")), ["a", "c"], "left_anti")
     left = points.select(F.col("id").alias("a"), F.col("vec").alias("x"), "label")
     right = points.select(F.col("id").alias("c"), F.col("vec").alias("y"), F.col("label").alias("label2"))
-    pairs = hop.join(left, "a").join(right, "c").where("label = label2").select("a", "c", "x", "y")
+    pairs = hop.join(left, "a").join(right, "c").where("label = label2").select("a", "c", "x", "y", F.size("x").alias("n"))
 
     def dots(batches):
         for b in batches:
             if b.num_rows:
-                yield _emit(b.column(0).to_numpy(), b.column(1).to_numpy(), [float(np.dot(x, y)) for x, y in zip(map(np.array, b.column(2).to_pylist()), map(np.array, b.column(3).to_pylist()), strict=True)])
+                dims = b.column(4).to_numpy()
+                for n in np.unique(dims):  # vectors of one length at a time
+                    own = b.filter(pa.array(dims == n)) if len(np.unique(dims)) > 1 else b
+                    yield _emit(own.column(0).to_numpy(), own.column(1).to_numpy(), np.einsum("ij,ij->i", _matrix(own.column(2)), _matrix(own.column(3))))
 
     found = pairs.mapInArrow(dots, _EDGE)
     return lists.union(found).union(found.select("b", "a", "sim").toDF("a", "b", "sim")).distinct()
