@@ -99,8 +99,8 @@ def plan(placed: DataFrame, n_shards: int, slots: int = SLOTS, parts: int = PART
 def rebalance(old: SlotMap, n_shards: int) -> SlotMap:
     """The next version for ``n_shards``: an edit that moves as few slots as it can.
 
-    Slots leave shards that hold more than the new share (or that no longer exist) and go
-    to the lightest ones; every other entry stays.
+    Slots leave shards that hold more than the new share and go to the added shards, or
+    leave removed shards for the lightest ones; every other entry stays.
     """
     if n_shards < 1:
         raise ValueError("n_shards must be positive")
@@ -119,7 +119,7 @@ def rebalance(old: SlotMap, n_shards: int) -> SlotMap:
             elif b or s >= n_shards:
                 loose.append((b, u))
     for b, u in sorted(loose, key=lambda x: (-x[0], x[1][0])):
-        s = min(range(n_shards), key=lambda k: (load[k], k))
+        s = min(range(old.n_shards, n_shards) or range(n_shards), key=lambda k: (load[k], k))
         load[s] += b
         for c in u:
             shard[c] = s

@@ -156,7 +156,7 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, id_col: str = "doc_id
     whole = seen.where("w = ''").first()
     n1, n0 = (whole.pos, whole.neg) if whole else (0, 0)
     total = population.get(1, 0) + population.get(0, 0)
-    base = (population.get(1, 0) + 0.5) / (total + 1)
+    base = (population.get(1, 0) + 0.5) / (total + 2)
     vocab: dict[str, int] = {}
     if n1 and n0:
         n = float(n1 + n0)

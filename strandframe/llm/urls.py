@@ -17,6 +17,8 @@ RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com"
 SEEDS = ("ads", "adult", "bet", "bets", "bonus", "casino", "cheap", "farm", "free", "gambling", "loan", "lottery", "pills", "poker", "porn", "replica", "sex", "slots", "spam", "track", "tracker", "viagra", "win", "winner", "xxx")
 #: Words beside them that the segmenter knows before it has counted anything.
 KNOWN = ("blog", "com", "example", "forum", "mail", "media", "net", "news", "online", "org", "shop", "site", "store", "web", "wiki", "www")
+#: Block counts that each seed word has beforehand, so that small tables know them too.
+SEED_COUNT = 5
 #: Bound of the vocabulary sent to the executors.
 VOCABULARY = 200_000
 MAX_WORD = 24
@@ -118,7 +120,8 @@ def fit(pages: DataFrame, url_col: str = "url", vocabulary: int = VOCABULARY) ->
     t = {r.w: (r.b, r.a) for r in rows}
     nb, na = t.pop("", (0, 0))
     for w in seeds:
-        t.setdefault(w, (1, 0))
+        b, a = t.get(w, (0, 0))
+        t[w] = (b + SEED_COUNT, a)
     sb, sa = (sum(x[k] for x in t.values()) + 0.5 * len(t) for k in (0, 1))
     m.log_odds = {w: math.log((b + 0.5) / sb) - math.log((a + 0.5) / sa) for w, (b, a) in t.items()}
     m.bias = math.log((nb + 1) / (na + 1))
