@@ -18,7 +18,7 @@ SEEDS = ("ads", "adult", "bet", "bets", "bonus", "casino", "cheap", "farm", "fre
 #: Words beside them that the segmenter knows before it has counted anything.
 KNOWN = ("blog", "com", "example", "forum", "mail", "media", "net", "news", "online", "org", "shop", "site", "store", "web", "wiki", "www")
 #: Block counts that each seed word has beforehand, so that small tables know them too.
-SEED_COUNT = 5
+SEED_COUNT = 1
 #: Bound of the vocabulary sent to the executors.
 VOCABULARY = 200_000
 MAX_WORD = 24

@@ -177,6 +177,7 @@ def test_langid(spark):
 
 def test_urls(spark):
     u = ["http://A.Example.net/en/1?x", "https://example.com/de/", "x.org/fr/", None, "http://b.org/fr/9#t", "http://cheappills.example.com/en", "http://quietriver.example.com/en/2", "http://", "http://net"]
+    u += [f"http://quiet{k % 17}river.example.com/en/{k}" for k in range(200)] + [f"http://{h}.example.com/en/{k}" for k in range(5) for h in ("cheap-pills", "spam-farm", "casino-win")]
     d = spark.createDataFrame(list(enumerate(u)), "page_id long, url string")
     got = {r.page_id: r for r in urls.judge(d, urls.fit(d)).collect()}
     assert (got[0].host, got[0].path, got[0].rule, got[0].verdict) == ("a.example.net", "/en/1", "example.net/en/", "allow")
