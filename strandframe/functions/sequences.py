@@ -99,8 +99,19 @@ def is_complete_cds(seq: Column) -> Column:
     return (n >= 6) & (n % 3 == 0) & F.substring(seq, 1, 3).isin(*STARTS) & F.substring(seq, n - 2, F.lit(3)).isin(*STOPS)
 
 
-def kmers(seq: Column, k: int) -> Column:
-    return F.transform(positions(F.length(seq) - (k - 1)), lambda i: F.substring(seq, i + 1, F.lit(k)))
+def kmers(seq: Column, k: int, chunk: int = 256) -> Column:
+    """All k-mers in order.
+
+    A substring of a long string costs its position, so the sequence is first cut into chunks
+    that overlap by k - 1, and k-mers are cut from those.
+    """
+    n = F.length(seq) - (k - 1)
+
+    def cut(c: Column) -> Column:
+        part = F.array(F.substring(seq, c + 1, F.lit(chunk + k - 1)))
+        return F.flatten(F.transform(part, lambda p: F.transform(F.sequence(F.lit(1), F.length(p) - (k - 1)), lambda i: F.substring(p, i, F.lit(k)))))
+
+    return F.flatten(F.transform(positions(n, chunk), cut))
 
 
 def canonical(kmer: Column) -> Column:
