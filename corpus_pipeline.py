@@ -33,14 +33,20 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of the smallest id of each near-duplicate group."""
-    groups = simhash.near_duplicates(docs)
-    return _without(docs, groups.where("doc_id <> component_id")).dropDuplicates(["doc_id"]) if _repeats(docs) else _without(docs, groups.where("doc_id <> component_id"))
+    """Keeps the document of the smallest id of each near-duplicate group.
+
+    Rows that repeat both id and text count as one document; different texts under one id both
+    stay; rows with a null id have no place in a group and all stay.
+    """
+    kept = _without(docs, simhash.near_duplicates(docs).where("doc_id <> component_id"))
+    if not _repeats(docs):
+        return kept
+    return kept.where("doc_id IS NOT NULL").dropDuplicates(["doc_id", "text"]).unionByName(kept.where("doc_id IS NULL"))
 
 
 def _repeats(docs: DataFrame) -> bool:
     """Whether an id occurs twice."""
-    return not docs.groupBy("doc_id").count().where("count > 1").isEmpty()
+    return not docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").isEmpty()
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

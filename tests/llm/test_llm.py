@@ -244,3 +244,9 @@ def test_digest(spark):
     r = queries.bpe_digest(docs(spark, [None])).first()
     empty = hashlib.sha256(b"").hexdigest()
     assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (0, empty, empty)
+
+
+def test_simhash_stage_keeps_null_ids_and_different_texts(spark):
+    rows = [(None, "one clean text of its own words", "en", "s", 1), (None, "and quite another text with no id", "en", "s", 1), (4, "a text that is here twice over", "en", "s", 1), (4, "a text that is here twice over", "en", "s", 1)]
+    out = corpus_pipeline.simhash_stage(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), "").collect()
+    assert sorted(r.text[:3] for r in out) == ["a t", "and", "one"]
