@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from strandframe.functions.sequences import slice_of
 
@@ -39,3 +40,47 @@ def reverse_complement(features: DataFrame, seqs: DataFrame) -> DataFrame:
 def add_features(seqs: DataFrame, features: DataFrame) -> DataFrame:
     """Features whose record exists."""
     return features.join(seqs.select("seq_id"), "seq_id", "left_semi")
+
+
+def pivot_features(seqs: DataFrame, features: DataFrame, pivot: str = "source") -> DataFrame:
+    """Features whose first value under the qualifier ``pivot`` names a record, with that record as ``seq_id``; others go."""
+    q = F.get(F.filter("qualifiers", lambda x: x.key == pivot), F.lit(0)).value
+    return features.withColumn("seq_id", q).join(seqs.select(F.col("seq_id").cast("string").alias("seq_id")).distinct(), "seq_id", "left_semi")
+
+
+def concat_records(seqs: DataFrame, features: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Joins the parts of each group end to end: ``grp, part, seq_id, seq`` to ``grp, seq`` and shifted features.
+
+    Features of one key and strand that touch at a boundary of parts fuse. One group becomes one
+    sequence, so a group must fit a row, as any sequence must.
+    """
+    w = Window.partitionBy("grp").orderBy("part")
+    off = seqs.select("grp", "part", "seq_id", F.coalesce(F.sum(F.length("seq")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"))
+    out = seqs.groupBy("grp").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "seq"))), lambda x: x.seq), "").alias("seq"))
+    f = features.join(off, "seq_id").select("grp", "key", "strand", (F.col("start") + F.col("_off")).alias("start"), (F.col("end") + F.col("_off")).alias("end"), "_off")
+    order = Window.partitionBy("grp", "key", "strand").orderBy("start", "end")
+    joins = (F.col("start") == F.lag("end").over(order)) & (F.col("start") == F.col("_off")) & (F.col("_off") > 0)
+    f = f.withColumn("_new", F.when(F.coalesce(joins, F.lit(False)), 0).otherwise(1)).withColumn("_run", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    fused = f.groupBy("grp", "key", "strand", "_run").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("_run")
+    return out, fused
+
+
+def insert_sequence(seqs: DataFrame, features: DataFrame, at: int, text: str, replaced: int = 0) -> tuple[DataFrame, DataFrame]:
+    """Puts ``text`` at a position, over ``replaced`` symbols: later features shift, those that span the place grow, those inside it go."""
+    n, end = len(text), at + replaced
+    s = seqs.withColumn("seq", F.concat(F.substring("seq", 1, at), F.lit(text), F.expr(f"substring(seq, {end + 1})")))
+    f = features if replaced == 0 else delete_region(features, at, end)
+    a, b = F.col("start"), F.col("end")
+    return s, f.withColumns({"start": F.when(a >= at, a + n).otherwise(a), "end": F.when(b > at, b + n).otherwise(b)})
+
+
+def shred(seqs: DataFrame, features: DataFrame, breaks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Cuts records at ``seq_id, at``: pieces ``seq_id, piece, start, end, seq`` and the features of each piece, clipped and shifted."""
+    cuts = breaks.select("seq_id", "at").unionByName(seqs.select("seq_id", F.lit(0).alias("at"))).distinct()
+    d = cuts.join(seqs.select("seq_id", "seq"), "seq_id").where((F.col("at") >= 0) & ((F.col("at") < F.length("seq")) | (F.col("at") == 0)))
+    w = Window.partitionBy("seq_id").orderBy("at")
+    d = d.select("seq_id", (F.row_number().over(w) - 1).alias("piece"), F.col("at").cast("long").alias("start"), F.coalesce(F.lead("at").over(w), F.length("seq")).cast("long").alias("end"), "seq")
+    pieces = d.withColumn("seq", F.expr("substring(seq, cast(start + 1 as int), cast(end - start as int))"))
+    p = pieces.select("seq_id", "piece", F.col("start").alias("_s"), F.col("end").alias("_e"))
+    f = features.join(p, "seq_id").where((F.col("start") < F.col("_e")) & (F.col("end") > F.col("_s")))
+    return pieces, f.withColumns({"start": F.greatest(F.col("start") - F.col("_s"), F.lit(0)), "end": F.least(F.col("end"), F.col("_e")) - F.col("_s")}).drop("_s", "_e")
