@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandframe.functions import packing as P
+from strandframe.operators import discovery
 from strandframe.operators import features as FT
 from strandframe.operators import pairwise as W
 from strandframe.plans.bindings import AL, IV, SEQ, al, iv, query, seqs, table
@@ -144,3 +145,8 @@ def _sliding(spark, d):
 FROM (SELECT user_id, ts, sum(cut) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS cut FROM events WHERE ts IS NOT NULL)) GROUP BY user_id, k""")
 def _sessions(spark, d):
     return _iso(windows.sessions(table(spark, d, "events")), "session_start", "session_end")
+
+
+@query("mt08_enriched_kmers")
+def _enriched(spark, d):
+    return discovery.enriched(seqs(spark, d), 6)
