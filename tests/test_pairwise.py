@@ -123,11 +123,7 @@ def test_stream_equals_batch(spark, tmp_path):
     (tmp_path / "in").mkdir()
     batch.write.mode("append").parquet(str(tmp_path / "in"))
     stream = windows.tumbling(windows.read_events(spark, str(tmp_path / "in"), batch.schema))
-    spark.conf.set("spark.checkpoint.dir", str(tmp_path / "shared"))
-    try:
-        windows.run_once(stream, "t", str(tmp_path / "out"))
-    finally:
-        spark.conf.unset("spark.checkpoint.dir")
+    windows.run_once(stream, tmp_path.name, str(tmp_path / "out"))
     key = lambda d: {(r.window_start, r.event_type): r.n for r in d.collect()}
     got, want = key(spark.read.parquet(str(tmp_path / "out"))), key(windows.tumbling(batch))
     assert got and all(want[k] == n for k, n in got.items())
