@@ -7,13 +7,18 @@ from html.parser import HTMLParser
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandframe.plans.session import materialize
+
 #: Least length, in tokens, of a run that two pages of a host share for it to count as boilerplate.
 REPEAT = 8
-#: Tokens of one suffix array; a host with more is dealt to several by hash of the page.
-CHUNK_PAGES = 500
+#: Tokens of one suffix array; the runs of a host with more are counted by their hashes instead.
+HOST_TOKENS = 250_000
+#: Parts of each repeated run's key when its mark is joined back, since a menu may stand on every page of a host.
+SALTS = 16
 
 _DROP = {"script", "style", "nav", "header", "footer", "aside", "form", "noscript", "template", "iframe", "button", "select", "svg", "canvas", "object", "head", "menu", "dialog"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
@@ -137,48 +142,93 @@ def repeated(pages: list[list[str]], least: int = REPEAT) -> list[np.ndarray]:
     return out
 
 
+def _unrepeated(own: list[str], mark: np.ndarray) -> str:
+    """The blocks that are not mostly covered by marks, in order."""
+    keep, at = [], 0
+    for t in own:
+        n = len(t.split())
+        if 2 * mark[at : at + n].sum() <= n:
+            keep.append(t)
+        at += n
+    return "\n".join(keep)
+
+
+def _by_suffix_array(rest: DataFrame) -> DataFrame:
+    """Texts of pages of hosts that fit in one suffix array each."""
+
+    def host(f):
+        own = dict(zip(f.key, f.blocks))  # a repeated row is no other page
+        marks = repeated([[w for t in x for w in t.split()] for x in own.values()])
+        text = {k: _unrepeated(x, m) for (k, x), m in zip(own.items(), marks, strict=True)}
+        return f[["page_id", "url"]].assign(text=f.key.map(text))
+
+    return rest.groupBy("host").applyInPandas(host, "page_id long, url string, text string")
+
+
+def _by_hashes(rest: DataFrame, least: int = REPEAT) -> DataFrame:
+    """The same for hosts of any size: hashes of token runs are counted by page over the whole host and their marks joined back."""
+    digest = xxhash.xxh3_128_digest
+
+    def runs(batches):
+        for b in batches:
+            for host, key, own in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                w = [x for t in own for x in t.split()]
+                n = max(0, len(w) - least + 1)
+                run = [digest(" ".join([host, *w[i : i + least]]).encode("utf-8", "surrogatepass")) for i in range(n)]
+                yield pa.RecordBatch.from_arrays([pa.array(run, pa.binary()), pa.array([key] * n, pa.int64()), pa.array(range(n), pa.int32())], names=["run", "key", "at"])
+
+    found = rest.select("host", "key", "blocks").mapInArrow(runs, "run binary, key long, at int")
+    shared = found.groupBy("run").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo <> hi")
+    shared = shared.select("run", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"))
+    marks = found.withColumn("salt", F.pmod("key", F.lit(SALTS))).join(shared, ["run", "salt"], "left_semi").groupBy("key").agg(F.collect_set("at").alias("at"))
+
+    def clean(batches):
+        for b in batches:
+            texts = []
+            for own, at in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+                mark = np.zeros(sum(len(t.split()) for t in own), bool)
+                for i in at or ():
+                    mark[i : i + least] = True
+                texts.append(_unrepeated(own, mark))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
+
+    return rest.join(marks, "key", "left").select("page_id", "url", "blocks", "at").mapInArrow(clean, "page_id long, url string, text string")
+
+
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """``page_id, url, text, n_chars``: the main text of every whole page.
 
     A page that marks its article (``article`` or ``main`` outside of dropped parts) gives the
     article's blocks. Repeated runs say nothing there: articles quote each other and menus differ,
-    so the suffix array alone cannot give the article (see the README). Pages without the
-    mark go, by host and in chunks of bounded size, through a suffix array; blocks mostly covered
-    by runs that other pages of the host repeat are removed, the rest is kept in order.
-    Null, empty and textless html gives an empty text; repeated rows give repeated results;
-    other columns are ignored.
+    so the suffix array alone cannot give the article (see the README). Of pages without the
+    mark, blocks mostly covered by runs that other such pages of the host repeat are removed, the
+    rest is kept in order. Runs are sought over the whole host: in one suffix array up to
+    ``HOST_TOKENS``, by distributed counts of their hashes above it, with the same result.
+    Null, empty and textless html gives an empty text; repeated rows (id and html) are one page and
+    give repeated results; other columns are ignored.
     """
     d = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
-    marked = F.lower("html").rlike("<(article|main)[\\s/>]")
+    host = F.coalesce(F.lower(F.regexp_extract("url", "://([^/?#]*)", 1)), F.lit(""))
 
-    def direct(batches):
+    def parse(batches):
         for b in batches:
-            texts = ["\n".join(blocks(h)[0]) for h in b.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
-
-    host = F.lower(F.regexp_extract("url", "://([^/?#]*)", 1))
-    rest = d.where(~marked).withColumn("host", F.coalesce(host, F.lit("")))
-
-    def by_host(it):
-        import pandas as pd
-
-        for f in it:
-            for lo in range(0, len(f), CHUNK_PAGES):
-                part = f.iloc[lo : lo + CHUNK_PAGES]
-                for _, g in part.groupby("host", sort=False):
-                    own = [blocks(h)[0] for h in g.html]
-                    marks = repeated([[w for t in x for w in t.split()] for x in own])
-                    texts = []
-                    for x, m in zip(own, marks, strict=True):
-                        keep, at = [], 0
-                        for t in x:
-                            n = len(t.split())
-                            if 2 * m[at : at + n].sum() <= n:
-                                keep.append(t)
-                            at += n
-                        texts.append("\n".join(keep))
-                    yield pd.DataFrame({"page_id": g.page_id, "url": g.url, "text": texts})
-
-    salted = rest.repartition("host", F.pmod(F.xxhash64("page_id"), F.lit(64))).sortWithinPartitions("host", "page_id")
-    out = d.where(marked).mapInArrow(direct, "page_id long, url string, text string").unionByName(salted.mapInPandas(by_host, "page_id long, url string, text string"))
+            texts, rest, n = [], [], []
+            for h in b.column(4).to_pylist():
+                own, marked = blocks(h)
+                done = marked or not own
+                texts.append("\n".join(own) if done else None)
+                rest.append(None if done else own)
+                n.append(0 if done else sum(len(t.split()) for t in own))
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in range(4)), pa.array(texts, pa.string()), pa.array(rest, pa.list_(pa.string())), pa.array(n, pa.int64())], names=["page_id", "url", "host", "key", "text", "blocks", "n"])
+
+    parsed = d.select("page_id", "url", host.alias("host"), F.xxhash64("page_id", "html").alias("key"), "html").mapInArrow(parse, "page_id long, url string, host string, key long, text string, blocks array<string>, n long")
+    parsed = materialize(parsed, "html")
+    out = parsed.where("text IS NOT NULL").select("page_id", "url", "text")
+    rest = parsed.where("text IS NULL").drop("text")
+    sizes = rest.groupBy("host").agg(F.sum("n").alias("n")).select("host", F.col("n").alias("size"))
+    large = sizes.where(F.col("size") > HOST_TOKENS)
+    if not rest.isEmpty():
+        out = out.unionByName(_by_suffix_array(rest.join(large, "host", "left_anti")))
+        if not large.isEmpty():
+            out = out.unionByName(_by_hashes(rest.join(large, "host", "left_semi")))
     return out.withColumn("n_chars", F.char_length("text").cast("long"))

@@ -199,6 +199,24 @@ def test_html(spark):
     assert got[13].text == "Story number 3 tells of 21 things"
 
 
+@pytest.mark.parametrize("bound", [html_text.HOST_TOKENS, 20])
+def test_html_repeats_are_sought_over_the_whole_host(spark, monkeypatch, bound):
+    """Few pages of a host, many partitions that stay apart; a mark in a dropped part; a repeated row."""
+    monkeypatch.setattr(html_text, "HOST_TOKENS", bound)
+    for key, value in (("spark.sql.adaptive.coalescePartitions.enabled", "false"), ("spark.sql.shuffle.partitions", "32")):
+        spark.conf.set(key, value)
+    try:
+        head = "Shared menu of this site with many words in it today"
+        rows = [(k, "http://b/x", f"<p>{head}</p><p>Story number {k} tells of {k * 7} things</p>{'<aside><article>x</article></aside>' if k % 2 else ''}") for k in range(6)]
+        rows += [rows[0], (50, "http://c/", f"<p>{head}</p>")]
+        got = html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    want = [(k, f"Story number {k} tells of {k * 7} things") for k in (0, *range(6))] + [(50, head)]
+    assert sorted((r.page_id, r.text) for r in got) == want
+
+
 def test_repeated_runs_against_brute_force():
     rng = random.Random(8)
     pages = [[rng.choice("abc") for _ in range(40)] for _ in range(4)] + [[]]
