@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -17,8 +18,12 @@ K = 12
 TREES = 8
 LEAF = 48
 ROUNDS = 2
+ATTEMPTS = 3
+#: Vectors of each label that are audited, besides four times the root of its size.
 AUDIT = 256
 RECALL = 0.999
+#: Vectors of a part of a crowded leaf, of a group and of a whole label; parts are compared in pairs.
+LEAF_PART, GROUP_PART, LABEL_PART = 8 * LEAF, 512, 2048
 
 _EDGE = "a long, b long, sim double"
 _SCHEMA = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("sim", pa.float64())])
@@ -26,10 +31,10 @@ _SCHEMA = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("sim", pa.float64())
 
 @dataclass
 class Audit:
-    """Recall of links for the audited vectors against brute force."""
+    """Audited vectors with links, and the part of them that was found; a vector weighs as one share of its group."""
 
-    found: int
-    true: int
+    found: float
+    true: float
 
     @property
     def recall(self) -> float:
@@ -69,43 +74,77 @@ def _top_pairs(ids: np.ndarray, x: np.ndarray, k: int):
     return ids[i], ids[j], s[i, j]
 
 
-def _leaves(points: DataFrame, trees: int, seed: int) -> DataFrame:
-    """First lists: exact neighbours within leaves of random-hyperplane trees, whose depth follows each label's size."""
-    sizes = points.groupBy("label").count().withColumn("depth", F.greatest(F.lit(0), F.ceil(F.log2(F.col("count") / LEAF))).cast("int"))
-    d = points.join(F.broadcast(sizes.select("label", "depth")), "label")
+def _trees(depth: int, least: int) -> int:
+    """Trees in which a pair at the threshold shares a leaf of this depth at least once with probability ``RECALL``."""
+    if not depth:
+        return 1
+    return max(least, math.ceil(math.log(1 - RECALL) / math.log(1 - (1 - math.acos(THRESHOLD) / math.pi) ** depth)))
 
-    def project(batches):
-        planes: dict = {}
-        for b in batches:
-            label = b.column(0).to_pylist()
-            vec = b.column(2).to_pylist()
-            depth = b.column(3).to_pylist()
-            for r in range(b.num_rows):
-                x = np.array(vec[r])
-                p = planes.setdefault(len(x), np.random.default_rng([seed, len(x)]).normal(size=(trees, 24, len(x))))
-                bits = (p[:, : depth[r]] @ x > 0) @ (1 << np.arange(depth[r])) if depth[r] else np.zeros(trees, int)
-                yield pa.RecordBatch.from_arrays([pa.array([f"{label[r]}|{t}|{int(bits[t])}" for t in range(trees)]), pa.array([b.column(1)[r].as_py()] * trees, pa.int64()), pa.array([vec[r]] * trees, pa.list_(pa.float64()))], names=["leaf", "id", "vec"])
-
-    dealt = d.select("label", "id", "vec", "depth").mapInArrow(project, "leaf string, id long, vec array<double>")
-
-    def join(batches):
+
+def _units(own: DataFrame, fn) -> DataFrame:
+    """Edges that ``fn(same, p, x, q, y)`` finds in each pair of parts of each group of ``g, n, id, vec``, n parts a group."""
+    own = own.withColumn("blk", F.pmod(F.xxhash64("id"), F.col("n")).cast("int"))
+    units = own.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).select("g", F.least("blk", "o").alias("i"), F.greatest("blk", "o").alias("j"), "blk", "id", "vec")
+    return _compare(units, fn)
+
+
+def _compare(units: DataFrame, fn) -> DataFrame:
+    """Edges that ``fn`` finds between part i and part j of each ``g, i, j``; a row ``g, i, j, blk, id, vec`` is in part blk."""
+
+    def run(batches):
         def groups():
-            leaf, ids, vec = None, [], []
+            key, rows = None, []
             for b in batches:
-                for g, i, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                    if g != leaf or len(ids) >= 8 * LEAF:  # a crowded leaf is cut; other trees and later rounds join its parts
-                        if ids:
-                            yield np.array(ids), np.array(vec)
-                        leaf, ids, vec = g, [], []
-                    ids.append(i)
-                    vec.append(v)
-            if ids:
-                yield np.array(ids), np.array(vec)
+                at, flat = b.column(5).offsets.to_numpy(), b.column(5).values.to_numpy(zero_copy_only=False)
+                for k, r in enumerate(zip(*(b.column(c).to_pylist() for c in range(5)), strict=True)):
+                    if r[:3] != key:
+                        if rows:
+                            yield key, rows
+                        key, rows = r[:3], []
+                    rows.append((r[3], r[4], flat[at[k] : at[k + 1]].copy()))
+            if rows:
+                yield key, rows
+
+        for (_, i, j), rows in groups():
+            p, q = [r for r in rows if r[0] == i], [r for r in rows if r[0] == j]
+            if p and q:
+                yield _emit(*fn(i == j, np.array([r[1] for r in p]), np.array([r[2] for r in p]), np.array([r[1] for r in q]), np.array([r[2] for r in q])))
+
+    return units.repartition("g", "i", "j").sortWithinPartitions("g", "i", "j", "id").mapInArrow(run, _EDGE)
 
-        for ids, x in groups():
-            yield _emit(*_top_pairs(ids, x, K))
 
-    return dealt.repartition("leaf").sortWithinPartitions("leaf", "id").mapInArrow(join, _EDGE).where("a <> b").distinct()
+def _leaf_pairs(same, p, x, q, y):
+    """Near pairs within a part, both ways; parts of a crowded leaf are left to other trees and later rounds."""
+    return _top_pairs(p, x, K) if same else ([], [], [])
+
+
+def _leaves(points: DataFrame, trees: int, seed: int) -> DataFrame:
+    """First lists: exact neighbours within leaves of random-hyperplane trees, whose depth follows each label's size and whose number the depth.
+
+    A crowded leaf is dealt in parts.
+    """
+    points = points.withColumn("name", F.col("label").cast("string"))
+    sizes = points.groupBy("name").count().withColumn("depth", F.least(F.lit(24), F.greatest(F.lit(0), F.ceil(F.log2(F.col("count") / LEAF)))).cast("int"))
+    d = points.join(F.broadcast(sizes.select("name", "depth")), "name")
+
+    def project(batches):
+        planes: dict = {}
+        for b in batches:
+            sort = np.stack([b.column(3).to_numpy(), b.column(4).to_numpy()], axis=1)
+            for depth, dim in np.unique(sort, axis=0).tolist():  # vectors of one depth and length at a time
+                own = b.filter(pa.array((sort == [depth, dim]).all(axis=1)))
+                t = _trees(depth, trees)
+                if (depth, dim) not in planes:
+                    planes[depth, dim] = np.random.default_rng([seed, dim, depth]).normal(size=(t * depth, dim))
+                bits = (_matrix(own.column(2)) @ planes[depth, dim].T > 0).reshape(own.num_rows, t, depth) @ (1 << np.arange(depth))
+                leaf = [f"{name}|{k}|{x}" for name, r in zip(own.column(0).to_pylist(), bits.tolist(), strict=True) for k, x in enumerate(r)]
+                at = pa.array(np.repeat(np.arange(own.num_rows), t))
+                yield pa.RecordBatch.from_arrays([pa.array(leaf, pa.string()), own.column(0).take(at), own.column(1).take(at)], names=["leaf", "name", "id"])
+
+    dealt = materialize(d.select("name", "id", "vec", "depth", F.size("vec").alias("dim")).mapInArrow(project, "leaf string, name string, id long"), "embed-leaves")
+    crowded = dealt.groupBy("leaf").count().where(F.col("count") > LEAF_PART).select("leaf", F.ceil(F.col("count") / LEAF_PART).cast("int").alias("n"))
+    own = dealt.join(crowded, "leaf", "left").join(points.select("name", "id", "vec"), ["name", "id"])
+    return _units(own.select(F.col("leaf").alias("g"), F.coalesce("n", F.lit(1)).alias("n"), "id", "vec"), _leaf_pairs).where("a <> b").distinct()
 
 
 def _lists(edges: DataFrame, k: int) -> DataFrame:
@@ -116,13 +155,13 @@ def _lists(edges: DataFrame, k: int) -> DataFrame:
     return edges.withColumn("r", F.row_number().over(w)).where((F.col("r") <= k) | (F.col("sim") >= THRESHOLD)).select("a", "b", "sim")
 
 
-def _descend(points: DataFrame, lists: DataFrame, k: int) -> DataFrame:
+def _descend(points: DataFrame, lists: DataFrame, k: int, turn: int) -> DataFrame:
     """One round: neighbours of neighbours of each vector are compared with it, exactly."""
     both = lists.select("a", "b").union(lists.select("b", "a")).toDF("a", "b").distinct()
     from pyspark.sql.window import Window
 
-    # hubs pass on a bounded list each round; links that this misses are reached through others
-    near = both.withColumn("r", F.row_number().over(Window.partitionBy("a").orderBy(F.xxhash64("a", "b")))).where(F.col("r") <= k).select("a", "b")
+    # hubs pass on a bounded list each round, another one in each; the audit decides about links that this misses
+    near = both.withColumn("r", F.row_number().over(Window.partitionBy("a").orderBy(F.xxhash64("a", "b", F.lit(turn))))).where(F.col("r") <= k).select("a", "b")
     hop = near.join(near.select(F.col("a").alias("b"), F.col("b").alias("c")), "b").select("a", "c").where("a < c").distinct()
     hop = hop.join(lists.select("a", F.col("b").alias("c")), ["a", "c"], "left_anti")
     left = points.select(F.col("id").alias("a"), F.col("vec").alias("x"), "label")
@@ -141,65 +180,54 @@ def _descend(points: DataFrame, lists: DataFrame, k: int) -> DataFrame:
     return lists.union(found).union(found.select("b", "a", "sim").toDF("a", "b", "sim")).distinct()
 
 
+def _links(same, p, x, q, y):
+    """All links of two parts, each one way."""
+    s = x @ y.T
+    m, n = np.nonzero(s >= THRESHOLD)
+    a, b = p[m], q[n]
+    own = a < b if same else a != b
+    return a[own], b[own], s[m, n][own]
+
+
+def _parts(n, size: int):
+    return F.ceil(n / size).cast("int")
+
+
 def _closure(points: DataFrame, links: DataFrame) -> DataFrame:
     """All links within the connected groups of ``links``: saturated lists enlarged to the whole group, compared in blocks.
 
     A group is dealt in blocks of its members; each pair of blocks is one task's unit of bounded size.
     """
     comp = connected_components(links, "a", "b").select(F.col("node").alias("id"), F.col("component").alias("g"))
-    own = points.join(comp, "id").select("g", "id", "vec")
     size = comp.groupBy("g").count()
-    own = own.join(size, "g").withColumn("n", F.ceil(F.col("count") / 512).cast("int")).withColumn("blk", F.pmod(F.xxhash64("id"), F.col("n")).cast("int"))
-    units = own.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).select("g", F.least("blk", "o").alias("i"), F.greatest("blk", "o").alias("j"), "blk", "id", "vec")
+    own = points.join(comp, "id").select("g", "id", "vec").join(size, "g")
+    return _units(own.select("g", _parts(F.col("count"), GROUP_PART).alias("n"), "id", "vec"), _links)
 
-    def compare(batches):
-        def groups():
-            key, rows = None, []
-            for b in batches:
-                for r in zip(*(b.column(c).to_pylist() for c in range(6)), strict=True):
-                    if r[:3] != key:
-                        if rows:
-                            yield key, rows
-                        key, rows = r[:3], []
-                    rows.append(r[3:])
-            if rows:
-                yield key, rows
 
-        for (_, i, j), rows in groups():
-            p, q = [r for r in rows if r[0] == i], [r for r in rows if r[0] == j]
-            if not p or not q:
-                continue
-            s = np.array([r[2] for r in p]) @ np.array([r[2] for r in q]).T
-            m, n = np.nonzero(s >= THRESHOLD)
-            a, b = np.array([r[1] for r in p])[m], np.array([r[1] for r in q])[n]
-            own = a < b if i == j else np.ones(len(a), bool)
-            yield _emit(a[own], b[own], s[m, n][own])
-
-    half = units.repartition("g", "i", "j").sortWithinPartitions("g", "i", "j", "id").mapInArrow(compare, _EDGE)
-    return half
-
-
-def _audit(points: DataFrame, links: DataFrame, n: int) -> Audit:
-    """Exact links of n vectors, chosen by hash, against all rows of their label."""
-    queries = points.orderBy(F.xxhash64("id"), "id").limit(n).collect()
-    sent = points.sparkSession.sparkContext.broadcast([(r.id, tuple(r.label), np.array(r.vec)) for r in queries])
-
-    def brute(batches):
-        by: dict = {}
-        for i, lab, v in sent.value:
-            by.setdefault(lab, []).append((i, v))
-        by = {k: (np.array([i for i, _ in v]), np.array([x for _, x in v])) for k, v in by.items()}
-        for b in batches:
-            for i, lab, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                q = by.get((lab["label"], lab["dim"]))
-                if q is not None:
-                    s = q[1] @ np.array(v)
-                    hit = (s >= THRESHOLD) & (q[0] != i)
-                    yield _emit(q[0][hit], np.full(hit.sum(), i), s[hit])
+def _exact(points: DataFrame) -> DataFrame:
+    """All links within labels, every pair compared in blocks."""
+    own = points.join(F.broadcast(points.groupBy("label").count()), "label")
+    return _units(own.select(F.col("label").alias("g"), _parts(F.col("count"), LABEL_PART).alias("n"), "id", "vec"), _links)
+
+
+def _audit(points: DataFrame, links: DataFrame, seed: int) -> DataFrame:
+    """``label, found, true`` of every label: exact links of vectors chosen by hash against all rows of their label.
+
+    Each label has its own sample, ``AUDIT`` vectors and four times the root of its size. A vector with
+    t links weighs 1 / (1 + t), so that a group of any size counts about as much as an isolated pair.
+    """
+    d = points.join(F.broadcast(points.groupBy("label").count()), "label").withColumn("n", _parts(F.col("count"), LABEL_PART))
+    asked = d.where(F.pmod(F.xxhash64("id", F.lit(seed)), F.col("count")) < AUDIT + 4 * F.sqrt("count"))
+    left = asked.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).select(F.col("label").alias("g"), F.lit(-1).alias("i"), "j", F.lit(-1).alias("blk"), "id", "vec")
+    blk = F.pmod(F.xxhash64("id"), F.col("n")).cast("int")
+    right = d.select(F.col("label").alias("g"), F.lit(-1).alias("i"), blk.alias("j"), blk.alias("blk"), "id", "vec")
+    true = _compare(left.union(right), _links).join(links.select("a", "b", F.lit(1).alias("hit")), ["a", "b"], "left")
+    each = true.groupBy("a").agg(F.count("*").alias("t"), F.count("hit").alias("f")).join(asked.select(F.col("id").alias("a"), "label"), "a")
+    return each.groupBy("label").agg(F.sum(F.col("f") / F.col("t") / (1 + F.col("t"))).alias("found"), F.sum(1 / (1 + F.col("t"))).alias("true"))
+
 
-    true = points.select("id", "label", "vec").mapInArrow(brute, _EDGE)
-    got = true.join(links.select("a", "b", F.lit(1).alias("hit")), ["a", "b"], "left").agg(F.count("*").alias("t"), F.sum("hit").alias("f")).first()
-    return Audit(got.f or 0, got.t)
+def _both(half: DataFrame) -> DataFrame:
+    return half.select("a", "b").union(half.select("b", "a").toDF("a", "b"))
 
 
 def near_duplicates(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", trees: int = TREES, k: int = K) -> tuple[DataFrame, Audit]:
@@ -211,10 +239,10 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embed
     until the end, so a group of copies of any size costs one row. A repeated vec_id is its own
     row. Other columns are ignored.
 
-    First lists come from random-hyperplane trees; each round compares neighbours of neighbours and
-    keeps the best k of a list and every link; saturated lists then grow to the whole connected
-    group. A brute-force audit of ``AUDIT`` vectors decides whether more trees and rounds are
-    needed, at most three times.
+    First lists come from random-hyperplane trees, ``trees`` at least; each round compares neighbours
+    of neighbours and keeps the best k of a list and every link; saturated lists then grow to the
+    whole connected group. A brute-force audit of each label decides whether it needs more trees and
+    rounds; after ``ATTEMPTS`` all pairs of the labels that still fall short are compared.
     """
     spark = df.sparkSession
     rows = usable(df, id_col, vec_col, label_col)
@@ -222,19 +250,29 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embed
     reps = rows.groupBy("label", "h", "vec").agg(F.min("id").alias("id"), F.count("*").alias("copies"))
     reps = materialize(reps, "embed-points")
     points = reps.select("id", "label", "vec")
-    lists, audit, links = None, Audit(0, 0), None
-    for attempt in range(3):
-        first = _leaves(points, trees, 11 + attempt)
-        lists = materialize(_lists(first if lists is None else lists.union(first).distinct(), k), "embed-lists")
-        for _ in range(ROUNDS):
-            lists = materialize(_lists(_descend(points, lists, k), k), "embed-lists")
-        half = _closure(points, lists.where(F.col("sim") >= THRESHOLD))
-        links = materialize(half.union(half.select("b", "a", "sim").toDF("a", "b", "sim")).select("a", "b").distinct(), "embed-links")
-        audit = _audit(points, links, AUDIT)
-        if audit.recall >= RECALL:
+    active, lists, links, audit = points, None, None, Audit(0.0, 0.0)
+    for attempt in range(ATTEMPTS):
+        first = _leaves(active, trees, 11 + attempt)
+        last, lists = lists, materialize(_lists(first if lists is None else lists.union(first).distinct(), k), "embed-lists")
+        for turn in range(ROUNDS):
+            discard(last) if last is not None else None
+            last, lists = lists, materialize(_lists(_descend(active, lists, k, attempt * ROUNDS + turn), k), "embed-lists")
+        discard(last)
+        found = _both(_closure(active, lists.where(F.col("sim") >= THRESHOLD)))
+        links = materialize((found if links is None else links.union(found)).distinct(), "embed-links")
+        seen = materialize(_audit(active, links, attempt), "embed-audit")
+        short = seen.where(F.col("found") < RECALL * F.col("true"))
+        done = seen.join(short.select("label"), "label", "left_anti").agg(F.sum("found").alias("f"), F.sum("true").alias("t")).first()
+        audit = Audit(audit.found + (done.f or 0), audit.true + (done.t or 0))
+        if short.isEmpty():
             break
-        discard(links)
+        active = materialize(active.join(short.select("label"), "label", "left_semi").select("id", "label", "vec"), "embed-points")
+        lists = lists.join(active.select(F.col("id").alias("a")), "a", "left_semi")
         trees *= 2
+    else:
+        links = materialize(links.union(_both(_exact(active))).distinct(), "embed-links")
+        rest = short.agg(F.sum("true").alias("t")).first().t
+        audit = Audit(audit.found + rest, audit.true + rest)
     comp = connected_components(links, "a", "b")
     copies = reps.select(F.col("id").alias("b"), "copies")
     degree = links.join(copies, "b").groupBy("a").agg(F.sum("copies").alias("d"))

@@ -251,6 +251,32 @@ def test_embeddings(spark):
     assert got[139].component_id == 0 and got[229].component_id == 150
 
 
+def brute_links(x, of):
+    v = x.astype(np.float32).astype(float)
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    link = (v @ v.T >= 0.93) & (of[:, None] == of[None, :])
+    np.fill_diagonal(link, False)
+    return link.sum(1).tolist()
+
+
+def vectors(spark, x, of):
+    return spark.createDataFrame([(k, [float(np.float32(v)) for v in r], int(of[k])) for k, r in enumerate(x)], "vec_id long, embedding array<float>, label int")
+
+
+def test_embeddings_isolated_pairs_are_not_drowned(spark, monkeypatch):
+    """Trees that find one large group only: the audit of its label notices the missed pairs and all pairs are compared."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(500, 16))
+    x[:200] = x[0] + 0.02 * rng.normal(size=(200, 16))
+    x[301:400:2] = x[300:400:2] + 0.1 * rng.normal(size=(50, 16))
+    of = np.array([k >= 420 for k in range(500)])
+    leaves = embed_dedup._leaves
+    monkeypatch.setattr(embed_dedup, "_leaves", lambda *a: leaves(*a).where("a < 200 and b < 200"))
+    found, audit = embed_dedup.near_duplicates(vectors(spark, x, of))
+    got = {r.vec_id: r.n_links for r in found.collect()}
+    assert audit.recall >= 0.999 and [got[k] for k in range(500)] == brute_links(x, of)
+
+
 def test_pipeline_columns(spark):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "quality", "simhash", "decontamination", "bpe"]
     d = docs(spark, ODD)
