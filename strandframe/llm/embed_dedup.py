@@ -113,15 +113,40 @@ def _compare(units: DataFrame, fn) -> DataFrame:
     return units.repartition("g", "i", "j").sortWithinPartitions("g", "i", "j", "id").mapInArrow(run, _EDGE)
 
 
+def _forest(near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of entries that connect all that the true entries connect."""
+    fresh_row, fresh_col = near.any(axis=1), near.any(axis=0)
+    out_r, out_c = [], []
+    for start in np.flatnonzero(fresh_row):
+        if not fresh_row[start]:
+            continue
+        fresh_row[start] = False
+        rows = np.array([start])
+        while len(rows):
+            cols = np.flatnonzero(fresh_col & near[rows].any(axis=0))
+            out_r.append(rows[near[np.ix_(rows, cols)].argmax(axis=0)] if len(cols) else cols)
+            out_c.append(cols)
+            fresh_col[cols] = False
+            rows = np.flatnonzero(fresh_row & near[:, cols].any(axis=1))
+            out_r.append(rows)
+            out_c.append(cols[near[np.ix_(rows, cols)].argmax(axis=1)] if len(rows) else rows)
+            fresh_row[rows] = False
+    return np.concatenate([*out_r, []]).astype(int), np.concatenate([*out_c, []]).astype(int)
+
+
 def _leaf_pairs(same, p, x, q, y):
-    """Near pairs within a part, both ways; parts of a crowded leaf are left to other trees and later rounds."""
-    return _top_pairs(p, x, K) if same else ([], [], [])
+    """Within a part, near pairs both ways; between parts of a crowded leaf, links that connect all which are linked."""
+    if same:
+        return _top_pairs(p, x, K)
+    s = x @ y.T
+    m, n = _forest(s >= THRESHOLD)
+    return np.concatenate([p[m], q[n]]), np.concatenate([q[n], p[m]]), np.concatenate([s[m, n]] * 2)
 
 
 def _leaves(points: DataFrame, trees: int, seed: int) -> DataFrame:
     """First lists: exact neighbours within leaves of random-hyperplane trees, whose depth follows each label's size and whose number the depth.
 
-    A crowded leaf is dealt in parts.
+    A crowded leaf is dealt in parts; every pair of its parts is compared.
     """
     points = points.withColumn("name", F.col("label").cast("string"))
     sizes = points.groupBy("name").count().withColumn("depth", F.least(F.lit(24), F.greatest(F.lit(0), F.ceil(F.log2(F.col("count") / LEAF)))).cast("int"))

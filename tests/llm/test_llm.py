@@ -263,6 +263,15 @@ def vectors(spark, x, of):
     return spark.createDataFrame([(k, [float(np.float32(v)) for v in r], int(of[k])) for k, r in enumerate(x)], "vec_id long, embedding array<float>, label int")
 
 
+def test_embeddings_crowded_leaf(spark):
+    """A label made up of one tight group stands whole in one leaf of every tree."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=16) + 1e-6 * rng.normal(size=(900, 16))
+    got = {r.vec_id: r for r in embed_dedup.near_duplicates(vectors(spark, x, np.zeros(900)))[0].collect()}
+    assert {r.component_id for r in got.values()} == {0}
+    assert [got[k].n_links for k in range(900)] == brute_links(x, np.zeros(900))
+
+
 def test_embeddings_isolated_pairs_are_not_drowned(spark, monkeypatch):
     """Trees that find one large group only: the audit of its label notices the missed pairs and all pairs are compared."""
     rng = np.random.default_rng(4)
