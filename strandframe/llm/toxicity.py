@@ -9,16 +9,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandframe.llm.common import isotonic
 
-#: Bounds of the fitted index: labelled examples of each class, and terms.
+#: Bound of the fitted index: labelled examples of each class, with all their terms.
 EXAMPLES = 2000
-TERMS = 1024
-#: Least chi-square of a term's presence against the label.
-CHI2 = 30.0
 NEIGHBOURS = 15
 BLOCK = 64
 
@@ -31,49 +29,69 @@ def tokens(text: str | None) -> list[str]:
     return _WORD.findall((text or "").lower())
 
 
+def _slices(start: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places ``start[i]`` to ``start[i + 1]`` of every i, one after the other, and how many each has."""
+    n = start[at + 1] - start[at]
+    return np.repeat(start[at] - (np.cumsum(n) - n), n) + np.arange(n.sum()), n
+
+
 @dataclass
 class BlockMaxIndex:
-    """Unit TF-IDF vectors of the examples as an inverted index in blocks of example numbers.
+    """Unit vectors of the examples as a sparse inverted index in blocks of example numbers.
 
-    ``top[t, b]`` is the largest weight of term t in block b. The sum of query weights times
-    these bounds every cosine in the block, so blocks are opened in falling order of bounds until the
-    k-th best cosine found is above the next bound: the result is the exact top k.
-    Ties go to the smaller example number.
+    A term has an entry for each block that holds it, with its postings there and the largest
+    of their weights. The sum of query weights times these bounds every cosine in the block, so the
+    blocks of highest bounds are opened first and then only those whose bound reaches the
+    k-th best cosine found: the result is the exact top k. Ties go to the smaller example number.
     """
 
-    weights: np.ndarray  # examples x terms, unit rows
-    postings: list[dict[int, tuple[np.ndarray, np.ndarray]]]
+    n: int
+    entries: np.ndarray  # first entry of each term, and the end
+    block: np.ndarray
     top: np.ndarray
+    postings: np.ndarray  # first posting of each entry, and the end
+    number: np.ndarray
+    weight: np.ndarray
 
     @classmethod
     def build(cls, weights: np.ndarray) -> BlockMaxIndex:
-        n, terms = weights.shape
-        blocks = max(1, -(-n // BLOCK))
-        top, postings = np.zeros((terms, blocks)), [{} for _ in range(terms)]
-        for t in range(terms):
-            at = np.flatnonzero(weights[:, t])
-            for b in np.unique(at // BLOCK):
-                own = at[at // BLOCK == b]
-                postings[t][int(b)] = (own - b * BLOCK, weights[own, t])
-                top[t, b] = weights[own, t].max()
-        return cls(weights, postings, top)
+        """From unit rows, examples x terms."""
+        number, term = np.nonzero(weights)
+        return cls.of(number, term, weights[number, term], *weights.shape)
+
+    @classmethod
+    def of(cls, number: np.ndarray, term: np.ndarray, weight: np.ndarray, n: int, terms: int) -> BlockMaxIndex:
+        order = np.lexsort((number, term))
+        number, term, weight = number[order], term[order], weight[order]
+        key = term * (n // BLOCK + 1) + number // BLOCK
+        first = np.flatnonzero(np.diff(key, prepend=-1))
+        top = np.maximum.reduceat(weight, first) if len(first) else np.zeros(0)
+        return cls(n, np.searchsorted(term[first], np.arange(terms + 1)), number[first] // BLOCK, top, np.append(first, len(number)), number, weight)
 
     def search(self, ids: list[int], query: np.ndarray, k: int = NEIGHBOURS, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """Numbers and cosines of the k nearest examples with a positive cosine."""
-        bound = query @ self.top[ids]
+        e, own = _slices(self.entries, np.asarray(ids, np.int64))
+        q, block = np.repeat(query, own), self.block[e]
+        bound = np.bincount(block, q * self.top[e], self.n // BLOCK + 1)
+        order = np.argsort(-bound, kind="stable")
         best_n, best_s = np.zeros(0, np.int64), np.zeros(0)
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or len(best_s) == k and bound[b] < best_s[-1] - 1e-12:
-                break
-            acc = np.zeros(BLOCK)
-            for t, q in zip(ids, query, strict=True):
-                p = self.postings[t].get(int(b))
-                if p is not None:
-                    acc[p[0]] += q * p[1]
+        for todo in (order[:4], order[4:]):
+            least = best_s[-1] - 1e-12 if len(best_s) == k else 0
+            todo = todo[(bound[todo] > 0) & (bound[todo] >= least)]
+            if not len(todo):
+                continue
+            use = np.zeros(len(bound), bool)
+            use[todo] = True
+            use = use[block]
+            at, own = _slices(self.postings, e[use])
+            acc = np.bincount(self.number[at], np.repeat(q[use], own) * self.weight[at], self.n)
             at = np.flatnonzero(acc > 0)
-            n, s = np.concatenate([best_n, at + b * BLOCK]), np.concatenate([best_s, acc[at]])
+            n, s = np.concatenate([best_n, at]), np.concatenate([best_s, acc[at]])
             keep = n != skip
             n, s = n[keep], s[keep]
+            if len(s) > k:
+                keep = s >= np.partition(s, len(s) - k)[len(s) - k]
+                n, s = n[keep], s[keep]
             order = np.lexsort((n, -s))[:k]
             best_n, best_s = n[order], s[order]
         return best_n, best_s
@@ -82,7 +100,7 @@ class BlockMaxIndex:
 @dataclass
 class ToxicityModel:
     terms: dict[str, int]
-    idf: np.ndarray
+    idf: np.ndarray  # times the term's weight against the label
     ids: np.ndarray
     labels: np.ndarray
     importance: np.ndarray
@@ -92,7 +110,7 @@ class ToxicityModel:
 
     def vector(self, counts: dict[int, int]) -> tuple[list[int], np.ndarray]:
         ids = sorted(counts)
-        w = np.array([(1 + math.log(counts[i])) * self.idf[i] for i in ids])
+        w = (1 + np.log(np.array([counts[i] for i in ids], float))) * self.idf[ids]
         return ids, w / (np.linalg.norm(w) or 1)
 
     def votes(self, n: np.ndarray, s: np.ndarray) -> float:
@@ -109,11 +127,11 @@ class ToxicityModel:
         return float(np.interp(self.votes(n, s), *self.knots)), n, s
 
 
-def _term_counts(docs: DataFrame, terms: dict[str, int]) -> DataFrame:
+def _term_counts(docs: DataFrame, terms) -> DataFrame:
     """``doc_id, y, t, n``: numbers and counts of the terms in each whole text."""
-    get = terms.get
 
     def run(batches):
+        get = terms.value.get
         for b in batches:
             t, n = [], []
             for text in b.column(2).to_pylist():
@@ -125,14 +143,14 @@ def _term_counts(docs: DataFrame, terms: dict[str, int]) -> DataFrame:
     return docs.select("doc_id", "y", "text").mapInArrow(run, "doc_id long, y int, t array<int>, n array<int>")
 
 
-def fit(docs: DataFrame, labels: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", examples: int = EXAMPLES, terms: int = TERMS) -> ToxicityModel:
+def fit(docs: DataFrame, labels: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", examples: int = EXAMPLES) -> ToxicityModel:
     """Build the index from a bounded sample of labelled rows.
 
     ``train`` is a condition on ``id_col``. The sample has up to ``examples`` rows of each
     class, by hash of the id, and their whole texts; several labels of a document count as
-    their largest, null labels as none. Terms are the ``terms`` with the largest chi-square
-    against the label in the sample, ``CHI2`` at least. Document frequencies for the IDF
-    come from every row of ``docs``. An example speaks for as many rows as its class has for
+    their largest, null labels as none. All terms of these texts are indexed; one weighs its IDF
+    times 1 + the root of its chi-square against the label in the sample, so none is left
+    out and telling ones lead. Document frequencies for the IDF come from every row of ``docs``. An example speaks for as many rows as its class has for
     each sampled one. Calibration is isotonic over leave-one-out votes of the examples.
     """
     ids = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("y")).where(F.col("doc_id").isNotNull() & F.col("y").isNotNull())
@@ -152,26 +170,23 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, id_col: str = "doc_id
                 c.update((y, w) for w in {*tokens(t), ""})
             yield pa.RecordBatch.from_arrays([pa.array([w for _, w in c]), pa.array([n if y else 0 for (y, _), n in c.items()], pa.int64()), pa.array([0 if y else n for (y, _), n in c.items()], pa.int64())], names=["w", "pos", "neg"])
 
-    seen = sample.mapInArrow(presence, "w string, pos long, neg long").groupBy("w").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).persist()
-    whole = seen.where("w = ''").first()
-    n1, n0 = (whole.pos, whole.neg) if whole else (0, 0)
+    seen = sample.mapInArrow(presence, "w string, pos long, neg long").groupBy("w").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).collect()
+    seen = {r.w: (r.pos, r.neg) for r in sorted(seen)}
+    n1, n0 = seen.pop("", (0, 0))
     total = population.get(1, 0) + population.get(0, 0)
     base = (population.get(1, 0) + 0.5) / (total + 2)
-    vocab: dict[str, int] = {}
-    if n1 and n0:
-        n = float(n1 + n0)
-        a, b = F.col("pos").cast("double"), F.col("neg").cast("double")
-        cross = a * (F.lit(float(n0)) - b) - b * (F.lit(float(n1)) - a)
-        chi = n * cross * cross / (F.lit(float(n1) * float(n0)) * (a + b) * (F.lit(n) - a - b))
-        found = seen.where((F.col("w") != "") & (a + b < n)).select("w", chi.alias("chi")).where(F.col("chi") >= min(CHI2, n / 8)).orderBy(F.desc("chi"), "w").limit(terms).collect()
-        vocab = {r.w: k for k, r in enumerate(found)}
-    seen.unpersist()
+    vocab = {w: k for k, w in enumerate(seen)} if n1 and n0 else {}
     if not vocab:
         return ToxicityModel({}, np.zeros(0), np.zeros(0, np.int64), np.zeros(0), np.zeros(0), BlockMaxIndex.build(np.zeros((1, 1))), (np.array([0.0]), np.array([base])), base)
 
+    sent = docs.sparkSession.sparkContext.broadcast(vocab)
+    n = float(n1 + n0)
+    pos, neg = np.array(list(seen.values()), float).T
+    chi = n * (pos * (n0 - neg) - neg * (n1 - pos)) ** 2 / np.maximum(float(n1) * n0 * (pos + neg) * (n - pos - neg), 1.0)
+
     def frequency(batches):
         c: Counter = Counter()
-        have = vocab.keys()
+        have = sent.value.keys()
         for b in batches:
             for t in b.column(0).to_pylist():
                 c[""] += 1
@@ -179,15 +194,15 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, id_col: str = "doc_id
         yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()), pa.array(list(c.values()), pa.int64())], names=["w", "n"])
 
     df = {r.w: r.n for r in text.select("text").mapInArrow(frequency, "w string, n long").groupBy("w").agg(F.sum("n").alias("n")).collect()}
-    idf = np.array([math.log((1 + df.get("", 0)) / (1 + df.get(w, 0))) + 1 for w in vocab])
-    rows = _term_counts(sample, vocab).orderBy(F.xxhash64("doc_id"), "doc_id").collect()
-    weights = np.zeros((len(rows), len(vocab)))
-    for k, r in enumerate(rows):
-        weights[k, r.t] = (1 + np.log(np.array(r.n, float))) * idf[r.t]
-    weights /= np.maximum(np.linalg.norm(weights, axis=1, keepdims=True), 1e-12)
+    idf = np.array([math.log((1 + df.get("", 0)) / (1 + df.get(w, 0))) + 1 for w in vocab]) * (1 + np.sqrt(chi))
+    rows = _term_counts(sample, sent).orderBy(F.xxhash64("doc_id"), "doc_id").collect()
+    number = np.repeat(np.arange(len(rows)), [len(r.t) for r in rows])
+    term = np.array([t for r in rows for t in r.t], np.int64)
+    weight = (1 + np.log(np.array([c for r in rows for c in r.n], float))) * idf[term]
+    weight /= np.sqrt(np.bincount(number, weight * weight, len(rows)))[number]
     y = np.array([float(r.y) for r in rows])
     share = np.array([population[r.y] / (n1 if r.y else n0) for r in rows])
-    m = ToxicityModel(vocab, idf, np.array([r.doc_id for r in rows]), y, share, BlockMaxIndex.build(weights), (np.array([0.0]), np.array([base])), base)
+    m = ToxicityModel(vocab, idf, np.array([r.doc_id for r in rows]), y, share, BlockMaxIndex.of(number, term, weight, len(rows), len(vocab)), (np.array([0.0]), np.array([base])), base)
     raw = np.full(len(rows), -1.0)
     for k, r in enumerate(rows):
         if r.t:
@@ -208,8 +223,8 @@ def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_co
 
     A text without any term of the index (null and empty ones too) gets the rate of such
     texts among the examples and no evidence. Repeated rows score alike, an empty table
-    gives no rows, and other columns are ignored. The index is bounded by ``EXAMPLES`` and
-    ``TERMS`` and is sent to each executor once.
+    gives no rows, and other columns are ignored. Terms that stand in no example can match nothing
+    and are not in the norm. The index is bounded by ``EXAMPLES`` and is sent to each executor once.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -219,12 +234,11 @@ def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_co
         for b in batches:
             out = []
             for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                c = Counter(x for x in map(get, tokens(t)) if x is not None)
-                key = frozenset(c.items())
+                key = xxhash.xxh3_128_digest((t or "").encode("utf-8", "surrogatepass"))
                 if key not in known:
-                    if len(known) > 50_000:
+                    if len(known) > 20_000:
                         known.clear()
-                    p, n, s = m.score(c)
+                    p, n, s = m.score(Counter(x for x in map(get, tokens(t)) if x is not None))
                     known[key] = (p, int(p >= 0.5), m.ids[n].tolist(), s.tolist())
                 out.append((i, *known[key]))
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), SCHEMA, strict=True)] if out else [pa.array([], f.type) for f in SCHEMA], schema=SCHEMA)

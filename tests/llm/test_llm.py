@@ -137,6 +137,19 @@ def test_toxicity(spark):
     assert toxicity.score(d, toxicity.fit(d, lab.limit(0), F.lit(True))).where("predicted = 1").count() == 0
 
 
+def test_toxicity_indexes_rare_terms(spark):
+    """Toxic texts whose telling words stand in one or two examples; equal texts have cosine 1."""
+    d, lab, n = labelled(spark, [f"w{chr(97 + k)}" for k in range(20)], ["nasty", "vile"])
+    rare = ["zig zag zog zug", "zig zag zog zug", "qua quo", "zig zag zog"]
+    more = spark.createDataFrame([(1000 + k, t, "en", "s", 1) for k, t in enumerate(rare)], "doc_id long, text string, lang string, source string, n_chars long")
+    d = d.select(more.columns).unionByName(more)
+    m = toxicity.fit(d, lab.unionByName(spark.createDataFrame([(1000, 0, 1), (1001, 0, 1), (1002, 0, 0)], lab.schema)), F.lit(True))
+    got = {r.doc_id: r for r in toxicity.score(d, m).where("doc_id >= 1000").collect()}
+    assert [got[1000 + k].predicted for k in range(4)] == [1, 1, 0, 1]
+    assert got[1000].neighbour_ids == got[1003].neighbour_ids and sorted(got[1000].neighbour_ids) == [1000, 1001] and got[1002].neighbour_ids == [1002]
+    assert np.allclose(got[1001].neighbour_cosines, 1) and np.allclose(got[1002].neighbour_cosines, 1)
+
+
 def test_quality(spark):
     d, lab, n = labelled(spark, ["plain", "words", "here."], ["$$$", "JUNK!!", "%%%"])
     stats = quality.document_statistics(d)
