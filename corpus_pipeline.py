@@ -14,6 +14,16 @@ from strandframe.plans.session import materialize, shared_dir
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
+def _rows(docs: DataFrame) -> DataFrame:
+    """The rows under a hash of id and text as ``doc_id``, so that each text is judged by itself; the true id is ``own_id``."""
+    return docs.select(F.xxhash64("doc_id", "text").alias("doc_id"), F.col("doc_id").alias("own_id"), *COLUMNS[1:])
+
+
+def _kept(rows: DataFrame, rejected: DataFrame) -> DataFrame:
+    """The rows whose hash is not among the rejected, with their true ids."""
+    return rows.join(rejected.select("doc_id"), "doc_id", "left_anti").select(F.col("own_id").alias("doc_id"), *COLUMNS[1:])
+
+
 def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
     """Rows of docs whose id is not among the rejected; rows with a null id stay."""
     return docs.select(*COLUMNS).join(rejected.select("doc_id"), "doc_id", "left_anti").select(*COLUMNS)
@@ -22,14 +32,18 @@ def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents predicted toxic."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"), ~held_out(F.col("doc_id"), 5, 0))
-    return _without(docs, toxicity.score(docs, model).where("predicted = 1"))
+    rows = _rows(docs)
+    return _kept(rows, toxicity.score(rows, model).where("predicted = 1"))
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents predicted of low quality."""
-    stats = materialize(quality.document_statistics(docs), "stats")
-    model = quality.fit(stats, table(spark, sf_dir, "labels"), ~held_out(F.col("doc_id"), 5, 0))
-    return _without(docs, quality.score(stats, model).where("predicted = 0"))
+    rows = _rows(docs)
+    stats = materialize(quality.document_statistics(rows), "stats")
+    ids = rows.where("own_id IS NOT NULL").select("doc_id", "own_id").distinct()
+    own = stats.join(ids, "doc_id").select(F.col("own_id").alias("doc_id"), "stats")
+    model = quality.fit(own, table(spark, sf_dir, "labels"), ~held_out(F.col("doc_id"), 5, 0))
+    return _kept(rows, quality.score(stats, model).where("predicted = 0"))
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,8 +65,9 @@ def _repeats(docs: DataFrame) -> bool:
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that the contamination rule marks."""
-    found = decontaminate.judged(decontaminate.find(docs, table(spark, sf_dir, "benchmark")))
-    return _without(docs, found.where("contaminated"))
+    rows = _rows(docs)
+    found = decontaminate.judged(decontaminate.find(rows, table(spark, sf_dir, "benchmark")))
+    return _kept(rows, found.where("contaminated"))
 
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -316,3 +316,18 @@ def test_simhash_stage_keeps_null_ids_and_different_texts(spark):
     rows = [(None, "one clean text of its own words", "en", "s", 1), (None, "and quite another text with no id", "en", "s", 1), (4, "a text that is here twice over", "en", "s", 1), (4, "a text that is here twice over", "en", "s", 1)]
     out = corpus_pipeline.simhash_stage(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), "").collect()
     assert sorted(r.text[:3] for r in out) == ["a t", "and", "one"]
+
+
+def test_stages_decide_by_row(spark, tmp_path):
+    """Bad rows without an id go; a clean text stays though a bad one shares its id."""
+    d, lab, n = labelled(spark, ["plain", "words", "here."], ["nasty", "vile", "$$$"])
+    lab.write.parquet(f"{tmp_path}/labels.parquet")
+    item = " ".join(f"w{k}" for k in range(20))
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    d = d.where(F.col("doc_id") < n).select(*corpus_pipeline.COLUMNS)
+    good, bad = "plain words here. " * 20, "nasty vile $$$ " * 20
+    for stage, worse in ((corpus_pipeline.toxicity_stage, bad), (corpus_pipeline.quality_stage, bad), (corpus_pipeline.decontamination_stage, item)):
+        more = spark.createDataFrame([(None, worse, "en", "s", 1), (None, good, "en", "s", 1), (9000, worse, "en", "s", 1), (9000, good, "en", "s", 1)], d.schema)
+        out = stage(spark, d.unionByName(more), str(tmp_path)).where("doc_id IS NULL OR doc_id = 9000")
+        assert out.columns == list(corpus_pipeline.COLUMNS)
+        assert sorted((r.doc_id or 0, r.text) for r in out.collect()) == [(0, good), (9000, good)]
