@@ -5,7 +5,6 @@ from __future__ import annotations
 import base64
 from functools import lru_cache
 
-import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,6 +13,8 @@ from pyspark.sql import functions as F
 #: Words that are encoded once and looked up; bounds the literal table of common words.
 COMMON = 1 << 18
 NONE = (1 << 40) - 1
+#: Bytes of words whose cuts fit in a long.
+SHORT = 62
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -26,21 +27,33 @@ def java_pattern(pattern: str) -> str:
     return "(?U)" + pattern
 
 
-def _cuckoo(items: list[tuple[int, int, object]], primes: tuple[int, int]) -> list:
-    """A table of the sum of the primes; each item (hash, hash, payload) sits in one of its two places."""
-    table: list = [None] * sum(primes)
-    for item in items:
-        at, side = item[0] % primes[0], 0
-        for _ in range(2000):
-            if table[at] is None:
-                table[at] = item
+def _displaced(hashes: list[int], bits: int) -> tuple[list[int], list]:
+    """Places for distinct 64-bit hashes in ``2 ** bits`` slots, no two alike: displacements by the top ``bits - 1`` bits, and the item of each slot.
+
+    An item's slot is ``(hash ^ displacement) & (2 ** bits - 1)``, so a look-up reads two places and compares once.
+    """
+    mask, shift = (1 << bits) - 1, 65 - bits
+    buckets: dict[int, list[int]] = {}
+    for k, h in enumerate(hashes):
+        buckets.setdefault(h >> shift, []).append(k)
+    moved, slots = [0] * (1 << (bits - 1)), [None] * (1 << bits)
+    for b in sorted(buckets, key=lambda b: (-len(buckets[b]), b)):
+        own = [hashes[k] & mask for k in buckets[b]]
+        for d in range(1 << bits):
+            at = [h ^ d for h in own]
+            if all(slots[x] is None for x in at) and len(set(at)) == len(at):
                 break
-            table[at], item = item, table[at]
-            first, second = item[0] % primes[0], primes[0] + item[1] % primes[1]
-            at = second if at == first else first
         else:
-            raise RuntimeError("table too full")
-    return table
+            raise RuntimeError("two hashes are alike in their low bits, or the table is too full")
+        moved[b] = d
+        for x, k in zip(at, buckets[b], strict=True):
+            slots[x] = k
+    return moved, slots
+
+
+def _signed(x: int) -> int:
+    x &= (1 << 64) - 1
+    return x - (1 << 64) if x >> 63 else x
 
 
 def _literal(spark: SparkSession, values: list, kind: pa.DataType) -> Column:
@@ -52,21 +65,33 @@ def _literal(spark: SparkSession, values: list, kind: pa.DataType) -> Column:
     return spark.createDataFrame(pa.table({"t": pa.array([values], pa.list_(kind))})).scalar()
 
 
-def _prime(n: int) -> int:
-    while any(n % k == 0 for k in range(2, int(n**0.5) + 1)):
-        n += 1
-    return n
+def _ordered(ranks: dict[bytes, int]) -> bool:
+    """Whether every token, encoded by itself, comes out whole by merges of rising rank.
+
+    Then no merge, in any text, makes a pair of lower rank than its own: the joint bytes of
+    such a pair would be a token whose own merges fall, as merges within its bytes do not depend on
+    what surrounds them. So one pass over all tokens found in a word, by rank, does every merge.
+    """
+    for token in ranks:
+        parts, last = [token[i : i + 1] for i in range(len(token))], -1
+        while len(parts) > 1:
+            rank, i = min((ranks.get(parts[i] + parts[i + 1], NONE), i) for i in range(len(parts) - 1))
+            if rank == NONE or rank < last:
+                return False
+            parts[i : i + 2], last = [parts[i] + parts[i + 1]], rank
+    return True
 
 
 class Bpe:
-    """The literals of one rank file.
+    """The literals of one rank file, as arrays that expressions read.
 
-    A pair of adjacent tokens merges to the token of their joint bytes, whose rank is its id.
-    The map from pairs to ids is a comb: the row of the left token is shifted by an offset so
-    that all rows share one array, and an entry ``left << 16 | id`` says whose it is. A look-up
-    reads the offset and one entry.
+    ``_t`` and ``_d`` map the hash of a piece to its rank (a fingerprint of 48 bits and the rank
+    in one long); ``_l`` bounds the length of tokens by the hash of their first four bytes; ``_o``, ``_n`` and ``_f``
+    are the ends, the inside and all of a stretch of a word as bits, by ``start * 64 + length - 1``.
     """
 
+    SLOTS, PREFIX = 17, 4
+
     def __init__(self, ranks: dict[bytes, int]):
         if len(ranks) > 1 << 16:
             raise ValueError("ids must fit in 16 bits")
@@ -76,67 +101,70 @@ class Bpe:
             self.by_id[v] = k
         if any(bytes([b]) not in ranks for b in range(256)):
             raise ValueError("every byte must have a rank")
-        rows: dict[int, list[tuple[int, int]]] = {}
-        for w, v in ranks.items():
-            for k in range(1, len(w)):
-                if w[:k] in ranks and w[k:] in ranks:
-                    rows.setdefault(ranks[w[:k]], []).append((ranks[w[k:]], v))
-        n = len(self.by_id)
-        # rows of many entries first; a sparse table and random offsets make the search short
-        entries = np.full(12 * n, -1, np.int64)
-        offset = np.zeros(n, np.int64)
-        rng = np.random.default_rng(0)
-        for left, row in sorted(rows.items(), key=lambda x: (-len(x[1]), x[0])):
-            right = np.array([r for r, _ in row])
-            for _ in range(200_000):
-                at = int(rng.integers(0, 11 * n))
-                if (entries[at + right] < 0).all():
-                    break
-            else:
-                raise RuntimeError("table too full")
-            entries[at + right] = left << 16 | np.array([v for _, v in row])
-            offset[left] = at
-        # one array of ints: first tokens of the 256 bytes, then the offset of each left token, then the comb
-        self.table = [ranks[bytes([b])] for b in range(256)] + (offset + 256 + n).tolist() + entries.tolist()
+        self.ordered, self.longest = _ordered(ranks), max(map(len, ranks))
+        hashes = {w: xxhash.xxh64_intdigest(w, 42) for w in ranks}
+        tokens = list(ranks)
+        moved, slots = _displaced([hashes[w] for w in tokens], self.SLOTS)
+        table = [0 if k is None else _signed(hashes[tokens[k]] & ~65535 | ranks[tokens[k]]) for k in slots]
+        lengths = [self.PREFIX - 1] * 65536
+        for w in tokens:
+            at = xxhash.xxh64_intdigest(w[: self.PREFIX], 42) & 65535
+            lengths[at] = max(lengths[at], len(w))
+        ends, inner = [0] * 4096, [0] * 4096
+        for i in range(1, SHORT + 1):
+            for n in range(1, SHORT + 2 - i):
+                ends[i << 6 | n - 1], inner[i << 6 | n - 1] = (1 | 1 << n) << (i - 1), ((1 << n - 1) - 1) << i
+        self.tables = {"_t": table, "_d": moved, "_l": lengths, "_o": [_signed(x) for x in ends], "_n": [_signed(x) for x in inner], "_f": [_signed(a | b) for a, b in zip(ends, inner, strict=True)]}
 
     @classmethod
     def load(cls, path: str) -> Bpe:
         return _load(path)
 
-    def _pair(self, a: Column, b: Column, table: Column) -> Column:
-        entry = F.get(table, (F.get(table, a + 256) + b).cast("int"))
-        return F.when(F.shiftright(entry, 16) == a, entry.bitwiseAND(65535)).otherwise(F.lit(NONE))
-
-    def rank_map(self, spark: SparkSession) -> Column:
-        """The literal map of merges."""
-        return _literal(spark, self.table, pa.int64())
+    def bind(self, df: DataFrame) -> DataFrame:
+        """``df`` with the literals under the names that :meth:`encode_word` reads, bound outside of any lambda by :meth:`let`."""
+        return df.select("*", *(_literal(df.sparkSession, v, pa.int64()).alias(f"{k}_") for k, v in self.tables.items()))
 
-    def encode_word(self, word: Column, table: Column) -> Column:
-        """Ids of one word: bytes become tokens, then the pair of lowest rank, leftmost first, merges until none has a rank.
+    def let(self, body: str) -> str:
+        for k in self.tables:
+            body = let(k, f"{k}_", body)
+        return body
 
-        ``table`` is :meth:`rank_map`, bound outside of any lambda.
-        """
-        none = F.array().cast("array<bigint>")
-        chars = F.decode(F.encode(word, "utf-8"), "iso-8859-1")  # a character for each byte
-        ids = F.transform(F.sequence(F.lit(1), F.length(chars)), lambda i: F.get(table, F.ascii(F.substring(chars, i, F.lit(1)))))
-        ranks = lambda x: F.when(F.size(x) > 1, F.transform(F.sequence(F.lit(0), F.size(x) - 2), lambda i: self._pair(F.get(x, i), F.get(x, i + 1), table))).otherwise(none)
-        start = let(ids, lambda x: F.struct(x.alias("ids"), ranks(x).alias("ranks")))
+    def unbind(self, df: DataFrame) -> DataFrame:
+        return df.drop(*(f"{k}_" for k in self.tables))
 
-        def merge(s: Column, _: Column) -> Column:
-            def put(m: Column, p: Column) -> Column:  # p: place of the pair, from 1
-                i, r, n = s.ids, s.ranks, F.size(s.ids)
-                left = F.when(p > 1, F.concat(F.slice(r, 1, p - 2), F.array(self._pair(F.get(i, p - 2), m, table)))).otherwise(none)
-                right = F.when(p + 1 < n, F.concat(F.array(self._pair(m, F.get(i, p + 1), table)), F.slice(r, p + 2, n))).otherwise(none)
-                return F.struct(F.concat(F.slice(i, 1, p - 1), F.array(m), F.slice(i, p + 2, n)).alias("ids"), F.concat(left, right).alias("ranks"))
+    def encode_word(self, word: str) -> str:
+        """SQL of the ids of the word that an expression names.
 
-            return let(F.array_min(s.ranks), lambda m: F.when(m < NONE, let(F.array_position(s.ranks, m).cast("int"), lambda p: put(m, p))).otherwise(s))
-
-        return F.when(F.length(word) == 0, none).otherwise(F.aggregate(F.sequence(F.lit(1), F.octet_length(word)), start, merge).ids).cast("array<int>")
+        All tokens that stand in the word are listed as ``rank << 12 | start << 6 | length - 1`` and
+        folded by rank, leftmost first, over a long whose bits are the places where the word
+        is still cut: a token whose ends are cut, with one cut inside, is a pair that merges. Words over ``SHORT``
+        bytes, and all words of a rank file that is not :func:`_ordered`, merge one pair a step instead.
+        """
+        entry = f"_t[(h ^ _d[shiftrightunsigned(h, {65 - self.SLOTS})]) & {(1 << self.SLOTS) - 1}]"
+        lengths = f"sequence(1, cast(least(n + 1 - i, _l[xxhash64(substring(w, i, {self.PREFIX})) & 65535]) as int))"
+        found = f"transform(transform({lengths}, k -> xxhash64(substring(w, i, k))), (h, k) -> if(shiftrightunsigned({entry} ^ h, 16) = 0, shiftleft({entry} & 65535, 12) + (shiftleft(i, 6) + k), -1L))"
+        tokens = f"filter(flatten(transform(sequence(1, n), i -> {found})), x -> x >= 0)"
+        cuts = "aggregate(sort_array(c), -1L, (m, x) -> if(bit_count(m & _n[x & 4095]) = 1 and (m & _o[x & 4095]) = _o[x & 4095], m ^ (m & _n[x & 4095]), m))"
+        short = let("c", tokens, let("m", cuts, "transform(filter(c, x -> (m & _f[x & 4095]) = _o[x & 4095]), x -> cast(shiftrightunsigned(x, 12) as int))"))
+
+        def rank(start: str, end: str) -> str:
+            return let("h", f"xxhash64(substring(w, {start} + 1, {end} - {start}))", f"if({end} - {start} <= {self.longest} and shiftrightunsigned({entry} ^ h, 16) = 0, {entry} & 65535, {NONE}L)")
+
+        ranks = f"if(n > 1, transform(sequence(0, n - 2), i -> {rank('i', '(i + 2)')}), array())"
+        place = let("a", "concat(slice(s.a, 1, p), slice(s.a, p + 2, size(s.a)))", f"""named_struct('a', a, 'r', concat(
+            if(p > 1, concat(slice(s.r, 1, p - 2), array({rank('a[p - 2]', 'a[p]')})), array()),
+            if(p + 1 < size(a), concat(array({rank('a[p - 1]', 'a[p + 1]')}), slice(s.r, p + 2, size(s.r))), array())))""")
+        step = let("x", "array_min(s.r)", f"if(x < {NONE}L, {let('p', 'cast(array_position(s.r, x) as int)', place)}, s)")
+        start = f"named_struct('a', sequence(0, n), 'r', cast({ranks} as array<bigint>))"
+        long = let("s", f"aggregate(sequence(1, n), {start}, (s, y) -> {step})", f"transform(sequence(0, size(s.a) - 2), i -> cast({rank('s.a[i]', 's.a[i + 1]')} as int))")
+        own = f"if(n <= {SHORT}, {short}, {long})" if self.ordered else long
+        return let("w", f"cast({word} as binary)", let("n", "octet_length(w)", f"if(n = 0, cast(array() as array<int>), {own})"))
 
     def decode(self, df: DataFrame, ids: str = "ids", out: str = "decoded") -> DataFrame:
         """Adds the bytes of a column of ids: concatenates their binary pieces; null gives null, no ids no bytes."""
         pieces = _literal(df.sparkSession, [p.hex().upper() for p in self.by_id], pa.string())
-        return df.withColumn("_p", pieces).withColumn(out, let(F.col("_p"), lambda p: F.unhex(F.array_join(F.transform(F.col(ids), lambda i: F.get(p, i)), "")))).drop("_p")
+        joined = F.expr(let("p", "_p_", f"unhex(array_join(transform(`{ids}`, i -> p[i]), ''))"))
+        return df.withColumn("_p_", pieces).withColumn(out, joined).drop("_p_")
 
 
 @lru_cache(2)
@@ -144,9 +172,9 @@ def _load(path: str) -> Bpe:
     return Bpe(read_ranks(path))
 
 
-def let(value: Column, body) -> Column:
-    """body(value) with value computed once."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+def let(name: str, value: str, body: str) -> str:
+    """SQL of ``body`` with ``name`` standing for ``value``, which is computed once."""
+    return f"transform(array({value}), {name} -> {body})[0]"
 
 
 def split(text: Column, pattern: str) -> Column:
@@ -161,47 +189,49 @@ def common_words(docs: DataFrame, bpe: Bpe, pattern: str, text_col: str = "text"
     twice can gain from the table.
     """
     counts = docs.select(F.explode(split(F.col(text_col), pattern)).alias("w")).groupBy("w").count()
-    spark = docs.sparkSession
-    top = counts.where("count > 1").orderBy(F.desc("count"), "w").limit(limit).select("w").repartition(max(2, spark.sparkContext.defaultParallelism))
-    got = top.withColumn("_m", bpe.rank_map(spark)).select("w", let(F.col("_m"), lambda m: bpe.encode_word(F.col("w"), m)).alias("ids")).toArrow()
+    top = counts.where("count > 1").orderBy(F.desc("count"), "w").limit(limit).select("w").repartition(max(2, docs.sparkSession.sparkContext.defaultParallelism))
+    got = bpe.bind(top).select("w", F.expr(bpe.let(bpe.encode_word("w"))).alias("ids")).toArrow()
     return list(zip(*(c.to_pylist() for c in got.columns), strict=True))
 
 
 class Lookup:
-    """A literal cuckoo table of words and their ids."""
+    """Literals of words and their ids: ``_w`` and ``_i`` by slot, ``_m`` the displacements of slots."""
 
     def __init__(self, entries: list):
-        self.p1 = _prime(max(11, len(entries) * 4 // 3))
-        self.p2 = _prime(self.p1 + 1)
+        self.bits = max(4, (2 * len(entries)).bit_length())
+        moved, slots = _displaced([xxhash.xxh64_intdigest(w.encode(), 42) for w, _ in entries], self.bits)
+        self.tables = {"_m": (moved, pa.int64()), "_w": ([None if k is None else entries[k][0] for k in slots], pa.string()), "_i": ([None if k is None else entries[k][1] for k in slots], pa.list_(pa.int32()))}
 
-        def hashes(w: str) -> tuple[int, int]:
-            h = xxhash.xxh64_intdigest(w.encode(), 42)
-            return (h & 0xFFFFFFFF), (h >> 32)
+    def bind(self, df: DataFrame) -> DataFrame:
+        return df.select("*", *(_literal(df.sparkSession, v, kind).alias(f"{k}_") for k, (v, kind) in self.tables.items()))
 
-        self.table = [None if x is None else {"w": x[2][0], "i": list(x[2][1])} for x in _cuckoo([(*hashes(w), (w, ids)) for w, ids in entries], (self.p1, self.p2))]
+    def let(self, body: str) -> str:
+        for k in self.tables:
+            body = let(k, f"{k}_", body)
+        return body
 
-    def literal(self, spark: SparkSession) -> Column:
-        return _literal(spark, self.table, pa.struct([("w", pa.string()), ("i", pa.list_(pa.int32()))]))
+    def unbind(self, df: DataFrame) -> DataFrame:
+        return df.drop(*(f"{k}_" for k in self.tables))
 
-    def find(self, word: Column, table: Column) -> Column:
-        h = F.xxhash64(word)
-        one = F.get(table, h.bitwiseAND(F.lit(0xFFFFFFFF)) % self.p1)
-        two = F.get(table, F.shiftrightunsigned(h, 32) % self.p2 + self.p1)
-        return F.when(one.w == word, one.i).when(two.w == word, two.i)
+    def find(self, words: str, other: str) -> str:
+        """SQL of the ids of each word of an array; ``other`` gives those of a word ``v`` that is not in the table."""
+        slot = f"(xxhash64(v) ^ _m[shiftrightunsigned(xxhash64(v), {65 - self.bits})]) & {(1 << self.bits) - 1}"
+        return let("v_", words, f"zip_with(v_, transform(v_, v -> {slot}), (v, x) -> if(_w[x] = v, _i[x], {other}))")
 
 
 def encode(docs: DataFrame, bpe: Bpe, pattern: str, text_col: str = "text", out: str = "ids", limit: int = COMMON) -> DataFrame:
     """Adds ``ids``, the token ids of every whole text, as the tiktoken library gives them without special tokens.
 
     Distinct common words are folded once and found in a literal table; a word outside it
-    is folded where it stands, by the same expression, so nothing is shuffled but word counts.
-    Null and empty texts give no ids; repeated rows encode alike; an existing column of the
-    name ``out`` is replaced and others pass through.
+    is folded where it stands, by the same expression, so nothing is shuffled but word counts; which words
+    are common (equal counts go by the word) changes no result. Null and empty texts give no ids; repeated rows
+    encode alike; an existing column of the name ``out`` is replaced, others pass through, but for
+    names of an underscore, a letter and another underscore, which are taken.
     """
-    spark, known = docs.sparkSession, Lookup(common_words(docs, bpe, pattern, text_col, limit))
-    words = split(F.col(text_col), pattern)
-    ids = let(F.col("_k"), lambda k: let(F.col("_m"), lambda m: F.flatten(F.transform(words, lambda w: F.coalesce(known.find(w, k), bpe.encode_word(w, m))))))
-    return docs.withColumn("_k", known.literal(spark)).withColumn("_m", bpe.rank_map(spark)).withColumn(out, ids).drop("_k", "_m")
+    known = Lookup(common_words(docs, bpe, pattern, text_col, limit))
+    split_text = docs.withColumn("_s_", split(F.col(text_col), pattern))
+    ids = bpe.let(known.let(f"flatten({known.find('_s_', bpe.encode_word('v'))})"))
+    return known.unbind(bpe.unbind(known.bind(bpe.bind(split_text)).withColumn(out, F.expr(ids)))).drop("_s_")
 
 
 def ids_text(ids: Column) -> Column:

@@ -104,6 +104,38 @@ def test_bpe_against_tiktoken(spark):
             assert bytes(r.decoded) == (texts[r.doc_id] or "").encode()
 
 
+def merges(word, ranks):
+    """Lowest rank first, leftmost first."""
+    parts = [word[k : k + 1] for k in range(len(word))]
+    while len(parts) > 1:
+        rank, k = min((ranks.get(parts[k] + parts[k + 1], 1 << 40), k) for k in range(len(parts) - 1))
+        if rank == 1 << 40:
+            break
+        parts[k : k + 2] = [parts[k] + parts[k + 1]]
+    return [ranks[p] for p in parts]
+
+
+def test_bpe_long_words_and_any_ranks(spark):
+    """Words on both sides of the bound of the one-pass fold; ranks whose merges fall as well as rise."""
+    import public_tokenizers
+
+    b = bpe.Bpe.load(queries.tokenizer_file("byte_bpe_multi_50k.tiktoken"))
+    assert b.ordered
+    rng = random.Random(5)
+    texts = ["z" * 700, "é" * 100, "y" * 62, "x" * 63, "東" * 21, "東" * 20 + "a", "#" * 63 + "\n" * 200, None]
+    texts += ["".join(rng.choice("aeinrst") for _ in range(n)) for n in (5, 20, 61, 62, 63, 90)]
+    words = ["abc", "abcd", "cdab", "abab", "bcdab", "aaaaa", "dcbabcd" * 12, ""]
+    few = {bytes([k]): k for k in range(256)} | {w.encode(): 256 + k for k, w in enumerate(("abcd", "cd", "ab", "bc", "aa", "dab", "da"))}
+    odd = bpe.Bpe(few)
+    assert not odd.ordered
+    for own, given in ((b, texts), (odd, words), (odd, ["abcd abcd", "xabcdx"])):
+        for r in bpe.encode(docs(spark, given), own, public_tokenizers.PATTERN, limit=2).collect():
+            import regex
+
+            want = [i for w in regex.findall(public_tokenizers.PATTERN, given[r.doc_id] or "") for i in merges(w.encode(), own.ranks)]
+            assert r.ids == want
+
+
 def test_block_max_search_is_exact():
     rng = np.random.default_rng(0)
     w = rng.random((500, 40)) * (rng.random((500, 40)) < 0.1)
