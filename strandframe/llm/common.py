@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,6 +37,19 @@ def per_batch(fn, names: list[str], schema: pa.Schema):
     return run
 
 
+def with_kept(ddl: str, rows: DataFrame) -> StructType:
+    """The schema of ``ddl`` and of the struct ``kept`` where ``rows`` have it."""
+    schema = StructType.fromDDL(ddl)
+    return schema.add(rows.schema["kept"]) if "kept" in rows.columns else schema
+
+
+def map_texts(docs: DataFrame, run, ddl: str, id_col: str, text_col: str, keep: tuple[str, ...]) -> DataFrame:
+    """mapInArrow of ``run`` over ``doc_id, text`` and, where columns are to be kept, a struct ``kept`` of them, which run passes on."""
+    kept = [F.struct(*keep).alias("kept")] if keep else []
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *kept)
+    return rows.mapInArrow(run, with_kept(ddl, rows))
+
+
 def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Weighted isotonic regression of y on x; the knots of a step function to interpolate."""
     order = np.argsort(x, kind="stable")

@@ -13,12 +13,16 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandframe.llm.common import isotonic
+from strandframe.llm.common import isotonic, map_texts
 
 #: Bound of the fitted index: labelled examples of each class, with all their terms.
 EXAMPLES = 2000
 NEIGHBOURS = 15
 BLOCK = 64
+#: Most terms that are kept dense, and queries that are multiplied with them at once; neither changes a result.
+HEAD, BATCH = 512, 256
+#: Distinct texts whose scores a Python worker remembers before it starts anew.
+REMEMBER = 20_000
 
 _WORD = re.compile(r"[^\W\d_]+")
 SCHEMA = pa.schema([("doc_id", pa.int64()), ("score", pa.float64()), ("predicted", pa.int32()), ("neighbour_ids", pa.list_(pa.int64())), ("neighbour_cosines", pa.list_(pa.float64()))])
@@ -37,12 +41,14 @@ def _slices(start: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class BlockMaxIndex:
-    """Unit vectors of the examples as a sparse inverted index in blocks of example numbers.
+    """Unit vectors of the examples as an inverted index in blocks of example numbers.
 
     A term has an entry for each block that holds it, with its postings there and the largest
-    of their weights. The sum of query weights times these bounds every cosine in the block, so the
+    of their weights. The ``HEAD`` terms of most postings, which nearly every query meets, are rows of a dense
+    matrix and scored exactly for all blocks by one product for a batch of queries. A block's largest score so far and
+    the sum of query weights times its entries' largest bound every cosine in the block, so the
     blocks of highest bounds are opened first and then only those whose bound reaches the
-    k-th best cosine found: the result is the exact top k. Ties go to the smaller example number.
+    k-th best cosine found: the result is the exact top k. Cosines count to 12 digits; ties go to the smaller example number.
     """
 
     n: int
@@ -52,43 +58,67 @@ class BlockMaxIndex:
     postings: np.ndarray  # first posting of each entry, and the end
     number: np.ndarray
     weight: np.ndarray
+    row: np.ndarray  # row of each term in the dense matrix, -1 for the others
+    dense: np.ndarray  # terms x examples, filled up to whole blocks
 
     @classmethod
-    def build(cls, weights: np.ndarray) -> BlockMaxIndex:
+    def build(cls, weights: np.ndarray, head: int = HEAD) -> BlockMaxIndex:
         """From unit rows, examples x terms."""
         number, term = np.nonzero(weights)
-        return cls.of(number, term, weights[number, term], *weights.shape)
+        return cls.of(number, term, weights[number, term], *weights.shape, head)
 
     @classmethod
-    def of(cls, number: np.ndarray, term: np.ndarray, weight: np.ndarray, n: int, terms: int) -> BlockMaxIndex:
+    def of(cls, number: np.ndarray, term: np.ndarray, weight: np.ndarray, n: int, terms: int, head: int = HEAD) -> BlockMaxIndex:
+        df = np.bincount(term, minlength=terms)
+        frequent = np.argsort(-df, kind="stable")[:head]
+        frequent = frequent[df[frequent] > max(1, n // 64)]
+        row = np.full(terms, -1)
+        row[frequent] = np.arange(len(frequent))
+        dense = np.zeros((len(frequent), -(-n // BLOCK) * BLOCK))
+        own = row[term] >= 0
+        dense[row[term[own]], number[own]] = weight[own]
+        number, term, weight = number[~own], term[~own], weight[~own]
         order = np.lexsort((number, term))
         number, term, weight = number[order], term[order], weight[order]
-        key = term * (n // BLOCK + 1) + number // BLOCK
-        first = np.flatnonzero(np.diff(key, prepend=-1))
+        first = np.flatnonzero(np.diff(term * (n // BLOCK + 1) + number // BLOCK, prepend=-1))
         top = np.maximum.reduceat(weight, first) if len(first) else np.zeros(0)
-        return cls(n, np.searchsorted(term[first], np.arange(terms + 1)), number[first] // BLOCK, top, np.append(first, len(number)), number, weight)
-
-    def search(self, ids: list[int], query: np.ndarray, k: int = NEIGHBOURS, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """Numbers and cosines of the k nearest examples with a positive cosine."""
-        e, own = _slices(self.entries, np.asarray(ids, np.int64))
+        return cls(n, np.searchsorted(term[first], np.arange(terms + 1)), number[first] // BLOCK, top, np.append(first, len(number)), number, weight, row, dense)
+
+    def search(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int = NEIGHBOURS, skip: list[int] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For queries of term numbers and weights: numbers and cosines of the k nearest examples with a positive cosine."""
+        out = []
+        for lo in range(0, len(queries), BATCH):
+            part = queries[lo : lo + BATCH]
+            heads = np.zeros((len(part), len(self.dense)))
+            for i, (ids, q) in enumerate(part):
+                r = self.row[ids]
+                heads[i, r[r >= 0]] = q[r >= 0]
+            known = heads @ self.dense
+            most = known.reshape(len(part), -1, BLOCK).max(axis=2) if self.n else known
+            out += [self._best(ids, q, known[i], most[i], k, -1 if skip is None else skip[lo + i]) for i, (ids, q) in enumerate(part)]
+        return out
+
+    def _best(self, ids: np.ndarray, query: np.ndarray, known: np.ndarray, most: np.ndarray, k: int, skip: int) -> tuple[np.ndarray, np.ndarray]:
+        e, own = _slices(self.entries, ids)
         q, block = np.repeat(query, own), self.block[e]
-        bound = np.bincount(block, q * self.top[e], self.n // BLOCK + 1)
+        bound = most + np.bincount(block, q * self.top[e], len(most))
         order = np.argsort(-bound, kind="stable")
         best_n, best_s = np.zeros(0, np.int64), np.zeros(0)
         for todo in (order[:4], order[4:]):
-            least = best_s[-1] - 1e-12 if len(best_s) == k else 0
+            least = best_s[-1] - 1e-11 if len(best_s) == k else 0
             todo = todo[(bound[todo] > 0) & (bound[todo] >= least)]
             if not len(todo):
                 continue
-            use = np.zeros(len(bound), bool)
+            use = np.zeros(len(most), bool)
             use[todo] = True
-            use = use[block]
-            at, own = _slices(self.postings, e[use])
-            acc = np.bincount(self.number[at], np.repeat(q[use], own) * self.weight[at], self.n)
-            at = np.flatnonzero(acc > 0)
-            n, s = np.concatenate([best_n, at]), np.concatenate([best_s, acc[at]])
-            keep = n != skip
-            n, s = n[keep], s[keep]
+            inside = use[block]
+            at, own = _slices(self.postings, e[inside])
+            acc = (np.bincount(self.number[at], np.repeat(q[inside], own) * self.weight[at], len(known)) + known).reshape(-1, BLOCK)
+            s = np.round(np.where(use[:, None], acc, 0).ravel(), 12)
+            if skip >= 0:
+                s[skip] = 0
+            n = np.flatnonzero(s > least - 1e-11) if least else np.flatnonzero(s)
+            n, s = np.concatenate([best_n, n]), np.concatenate([best_s, s[n]])
             if len(s) > k:
                 keep = s >= np.partition(s, len(s) - k)[len(s) - k]
                 n, s = n[keep], s[keep]
@@ -108,23 +138,33 @@ class ToxicityModel:
     knots: tuple[np.ndarray, np.ndarray]
     none: float
 
-    def vector(self, counts: dict[int, int]) -> tuple[list[int], np.ndarray]:
-        ids = sorted(counts)
-        w = (1 + np.log(np.array([counts[i] for i in ids], float))) * self.idf[ids]
-        return ids, w / (np.linalg.norm(w) or 1)
+    def vector(self, counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
+        ids = np.fromiter(counts, np.int64, len(counts))
+        w = (1 + np.log(np.fromiter(counts.values(), float, len(counts)))) * self.idf[ids]
+        order = np.argsort(ids)
+        return ids[order], w[order] / (np.linalg.norm(w[order]) or 1)
 
     def votes(self, n: np.ndarray, s: np.ndarray) -> float:
         """Share of toxic votes; a vote weighs the example's weight over its distance."""
         w = self.importance[n] / (1.05 - np.minimum(s, 1))
         return float((w * self.labels[n]).sum() / w.sum())
 
-    def score(self, counts: dict[int, int]) -> tuple[float, np.ndarray, np.ndarray]:
-        if not counts:
-            return self.none, np.zeros(0, np.int64), np.zeros(0)
-        n, s = self.index.search(*self.vector(counts))
-        if not len(n):
-            return self.none, n, s
-        return float(np.interp(self.votes(n, s), *self.knots)), n, s
+    def score(self, counts: list[dict[int, int]]) -> list[tuple[float, np.ndarray, np.ndarray]]:
+        """Score, numbers and cosines of the nearest examples for the term counts of each text."""
+        none = (self.none, np.zeros(0, np.int64), np.zeros(0))
+        own = [k for k, c in enumerate(counts) if c]
+        out = [none] * len(counts)
+        for k, (n, s) in zip(own, self.index.search([self.vector(counts[k]) for k in own]), strict=True):
+            if len(n):
+                out[k] = (float(np.interp(self.votes(n, s), *self.knots)), n, s)
+        return out
+
+
+def _counts(text: str | None, get) -> Counter:
+    """Counts of the numbers that ``get`` gives to the tokens of a text."""
+    c = Counter(map(get, tokens(text)))
+    c.pop(None, None)
+    return c
 
 
 def _term_counts(docs: DataFrame, terms) -> DataFrame:
@@ -135,7 +175,7 @@ def _term_counts(docs: DataFrame, terms) -> DataFrame:
         for b in batches:
             t, n = [], []
             for text in b.column(2).to_pylist():
-                c = Counter(x for x in map(get, tokens(text)) if x is not None)
+                c = _counts(text, get)
                 t.append(list(c))
                 n.append(list(c.values()))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(t, pa.list_(pa.int32())), pa.array(n, pa.list_(pa.int32()))], names=["doc_id", "y", "t", "n"])
@@ -150,8 +190,9 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, id_col: str = "doc_id
     class, by hash of the id, and their whole texts; several labels of a document count as
     their largest, null labels as none. All terms of these texts are indexed; one weighs its IDF
     times 1 + the root of its chi-square against the label in the sample, so none is left
-    out and telling ones lead. Document frequencies for the IDF come from every row of ``docs``. An example speaks for as many rows as its class has for
-    each sampled one. Calibration is isotonic over leave-one-out votes of the examples.
+    out and telling ones lead. Document frequencies for the IDF come from every row
+    of ``docs``. An example speaks for as many rows as its class has for
+    each sampled one. Of several texts under one id the least is the example. Calibration is isotonic over leave-one-out votes of the examples.
     """
     ids = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("y")).where(F.col("doc_id").isNotNull() & F.col("y").isNotNull())
     ids = ids.groupBy("doc_id").agg(F.max("y").alias("y")).where(train)
@@ -161,7 +202,7 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, id_col: str = "doc_id
         part = ids.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(examples)
         picked = part if picked is None else picked.unionByName(part)
     text = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    sample = text.join(F.broadcast(picked), "doc_id").select("doc_id", "y", "text")
+    sample = text.join(F.broadcast(picked), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))  # a repeated id is one example
 
     def presence(batches):
         for b in batches:
@@ -204,11 +245,11 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, id_col: str = "doc_id
     share = np.array([population[r.y] / (n1 if r.y else n0) for r in rows])
     m = ToxicityModel(vocab, idf, np.array([r.doc_id for r in rows]), y, share, BlockMaxIndex.of(number, term, weight, len(rows), len(vocab)), (np.array([0.0]), np.array([base])), base)
     raw = np.full(len(rows), -1.0)
-    for k, r in enumerate(rows):
-        if r.t:
-            n_, s = m.index.search(*m.vector(dict(zip(r.t, r.n, strict=True))), skip=k)
-            if len(n_):
-                raw[k] = m.votes(n_, s)
+    some = [k for k, r in enumerate(rows) if r.t]
+    near = m.index.search([m.vector(dict(zip(rows[k].t, rows[k].n, strict=True))) for k in some], skip=some)
+    for k, (n_, s) in zip(some, near, strict=True):
+        if len(n_):
+            raw[k] = m.votes(n_, s)
     bare = raw < 0
     m.none = float(((share * y)[bare].sum() + base) / (share[bare].sum() + 1))
     if (~bare).any():
@@ -218,9 +259,11 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, id_col: str = "doc_id
     return m
 
 
-def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """Score every whole text: ``doc_id, score, predicted`` and the evidence, ids and cosines of the nearest examples.
 
+    Columns named in ``keep`` come back untouched in a struct ``kept``, so that rows can be decided without a join.
+
     A text without any term of the index (null and empty ones too) gets the rate of such
     texts among the examples and no evidence. Repeated rows score alike, an empty table
     gives no rows, and other columns are ignored. Terms that stand in no example can match nothing
@@ -232,15 +275,14 @@ def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_co
         m, known = sent.value, {}
         get = m.terms.get
         for b in batches:
-            out = []
-            for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                key = xxhash.xxh3_128_digest((t or "").encode("utf-8", "surrogatepass"))
-                if key not in known:
-                    if len(known) > 20_000:
-                        known.clear()
-                    p, n, s = m.score(Counter(x for x in map(get, tokens(t)) if x is not None))
-                    known[key] = (p, int(p >= 0.5), m.ids[n].tolist(), s.tolist())
-                out.append((i, *known[key]))
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), SCHEMA, strict=True)] if out else [pa.array([], f.type) for f in SCHEMA], schema=SCHEMA)
-
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, DDL)
+            texts = b.column(1).to_pylist()
+            keys = [xxhash.xxh3_128_digest((t or "").encode("utf-8", "surrogatepass")) for t in texts]
+            if len(known) > REMEMBER:
+                known.clear()
+            fresh = {k: _counts(t, get) for k, t in dict(zip(keys, texts, strict=True)).items() if k not in known}
+            for k, (p, n, s) in zip(fresh, m.score(list(fresh.values())), strict=True):
+                known[k] = (p, int(p >= 0.5), m.ids[n].tolist(), s.tolist())
+            out = [known[k] for k in keys]
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([r[c] for r in out], SCHEMA.field(c + 1).type) for c in range(4)), *b.columns[2:]], names=SCHEMA.names + b.schema.names[2:])
+
+    return map_texts(docs, run, DDL, id_col, text_col, keep)
