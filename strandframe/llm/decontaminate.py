@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandframe.llm.common import map_texts
+
 WINDOW = 13
 #: Bytes of normalised benchmark text in one automaton; a larger benchmark takes several passes over each text in memory.
 BLOCK_BYTES = 8_000_000
@@ -107,13 +109,14 @@ def spans(text: str, hit: np.ndarray) -> list[dict]:
     return out
 
 
-def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", size: int = WINDOW) -> DataFrame:
+def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", size: int = WINDOW, keep: tuple[str, ...] = ()) -> DataFrame:
     """Occurrences of benchmark windows in every whole text.
 
     Returns one row per input row: ``doc_id, n_words, n_hit, n_items, item_ids`` (sorted as
     strings) and ``spans``, the hit passages as character offsets of the original text. An
     item of fewer words than the window is one window; null and empty texts have no words; an
-    empty benchmark hits nothing; repeated rows are judged each; other columns are ignored.
+    empty benchmark hits nothing; repeated rows are judged each; columns
+    named in ``keep`` come back untouched in a struct ``kept``, others are ignored.
 
     The benchmark is the query set: it is sent in blocks of ``BLOCK_BYTES``, every block is
     built into one automaton per Python worker, and each text is scanned once per block.
@@ -136,9 +139,9 @@ def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
             for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 n, hit, items = _scan(t, autos)
                 out.append((i, n, 0 if hit is None else int(hit.sum()), len(items), sorted(items), [] if hit is None else spans(t, hit)))
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), SCHEMA, strict=True)] if out else [pa.array([], f.type) for f in SCHEMA], schema=SCHEMA)
+            yield pa.RecordBatch.from_arrays([*(pa.array([r[k] for r in out], f.type) for k, f in enumerate(SCHEMA)), *batch.columns[2:]], names=SCHEMA.names + batch.schema.names[2:])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, DDL)
+    return map_texts(docs, run, DDL, id_col, text_col, keep)
 
 
 def judged(found: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandframe.llm.common import isotonic
+from strandframe.llm.common import isotonic, map_texts, with_kept
 
 FEATURES = 256
 RIDGE = 1.0
@@ -53,14 +53,18 @@ def statistics(text: str | None) -> list[float]:
     ]
 
 
-def document_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, stats`` for every whole text."""
+def document_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """``doc_id, stats`` for every whole text; columns named in ``keep`` come back untouched in a struct ``kept``.
+
+    Null and empty texts have zeros, repeated rows are rows of their own, an empty table gives no rows, other columns are ignored.
+    """
 
     def run(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([statistics(t) for t in b.column(1).to_pylist()], pa.list_(pa.float64()))], names=["doc_id", "stats"])
+            stats = pa.array([statistics(t) for t in b.column(1).to_pylist()], pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([b.column(0), stats, *b.columns[2:]], names=["doc_id", "stats", *b.schema.names[2:]])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, stats array<double>")
+    return map_texts(docs, run, "doc_id long, stats array<double>", id_col, text_col, keep)
 
 
 @dataclass
@@ -104,7 +108,7 @@ def fit(stats: DataFrame, labels: DataFrame, train: Column, label_col: str = "qu
         return pa.RecordBatch.from_arrays([pa.array([k for k, _ in keys], pa.int32()), pa.array([i for _, i in keys], pa.int32()), pa.array([sums[k][i].tolist() for k, i in keys], pa.list_(pa.float64()))], names=["k", "i", "s"])
 
     def add(t: pa.Table) -> pa.Table:
-        total = np.sum(t.column("s").to_pylist(), axis=0)
+        total = np.sum([c.flatten().to_numpy().reshape(len(c), -1).sum(axis=0) for c in t.column("s").chunks], axis=0)
         return pa.table({"k": t.column("k").slice(0, 1), "i": t.column("i").slice(0, 1), "s": pa.array([total.tolist()], pa.list_(pa.float64()))})
 
     def total(fn) -> dict[int, np.ndarray]:
@@ -174,7 +178,11 @@ def fit(stats: DataFrame, labels: DataFrame, train: Column, label_col: str = "qu
 
 
 def score(stats: DataFrame, model: QualityModel, threshold: float = 0.3) -> DataFrame:
-    """``doc_id, score, predicted`` for every row of :func:`document_statistics`."""
+    """``doc_id, score, predicted`` for every row of :func:`document_statistics`, and ``kept`` where it has that.
+
+    ``predicted`` is 1 from the threshold on, so a tie with it counts as good; repeated rows score alike; an empty table
+    gives no rows; other columns are ignored.
+    """
     sent = stats.sparkSession.sparkContext.broadcast(model)
     d = len(NAMES)
 
@@ -182,6 +190,8 @@ def score(stats: DataFrame, model: QualityModel, threshold: float = 0.3) -> Data
         for b in batches:
             x = np.array(b.column(1).flatten().to_numpy(zero_copy_only=False)).reshape(-1, d)
             p = sent.value.score(x) if len(x) else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(p), pa.array((p >= threshold).astype(np.int32))], names=["doc_id", "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(p), pa.array((p >= threshold).astype(np.int32)), *b.columns[2:]], names=["doc_id", "score", "predicted", *b.schema.names[2:]])
 
-    return stats.select("doc_id", "stats").mapInArrow(run, "doc_id long, score double, predicted int")
+    kept = [c for c in ("kept",) if c in stats.columns]
+    rows = stats.select("doc_id", "stats", *kept)
+    return rows.mapInArrow(run, with_kept("doc_id long, score double, predicted int", rows))
