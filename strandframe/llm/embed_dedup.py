@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 import math
 from dataclasses import dataclass
 
@@ -27,6 +28,9 @@ LEAF_PART, GROUP_PART, LABEL_PART = 8 * LEAF, 512, 2048
 
 _EDGE = "a long, b long, sim double"
 _SCHEMA = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("sim", pa.float64())])
+_COUNT = pa.schema([("id", pa.int64()), ("d", pa.int64())])
+_RECALL = pa.schema([("id", pa.int64()), ("t", pa.int64()), ("f", pa.int64())])
+log = logging.getLogger(__name__)
 
 
 @dataclass
@@ -41,15 +45,21 @@ class Audit:
         return self.found / self.true if self.true else 1.0
 
 
-def usable(df: DataFrame, id_col: str, vec_col: str, label_col: str) -> DataFrame:
-    """``id, label, vec`` of rows that can link: unit double vectors of finite, not all zero components, with a label."""
-    v = F.col(vec_col).cast("array<double>")
-    d = df.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).alias("label"), v.alias("v"))
-    sane = F.col("label").isNotNull() & F.col("id").isNotNull() & F.col("v").isNotNull() & F.coalesce(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))), F.lit(False))
-    top = F.array_max(F.transform("v", lambda x: F.abs(x)))
-    d = d.where(sane).withColumn("top", top).where("top > 0").withColumn("v", F.transform("v", lambda x: x / F.col("top")))
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
-    return d.withColumn("norm", norm).select("id", F.struct(F.col("label"), F.size("v").alias("dim")).alias("label"), F.transform("v", lambda x: x / F.col("norm")).alias("vec"))
+def _rows(df: DataFrame, id_col: str, vec_col: str, label_col: str) -> DataFrame:
+    """``vec_id, label, v`` and ``sane``: whether the row can link."""
+    d = df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).alias("label"), F.col(vec_col).cast("array<double>").alias("v"))
+    fit = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
+    return d.withColumn("sane", F.col("label").isNotNull() & F.col("vec_id").isNotNull() & F.col("v").isNotNull() & F.coalesce(fit, F.lit(False)))
+
+
+def usable(rows: DataFrame) -> DataFrame:
+    """``vec_id, label, vec`` of rows that can link: unit double vectors of finite, not all zero components, with a label.
+
+    The largest component and the norm are bound once a vector, outside of the lambda over its components.
+    """
+    scaled = "transform(array(array_max(transform(v, x -> abs(x)))), t -> transform(v, x -> x / t))[0]"
+    unit = f"transform(array({scaled}), u -> transform(array(sqrt(aggregate(u, 0D, (s, x) -> s + x * x))), n -> transform(u, x -> x / n))[0])[0]"
+    return rows.where("sane").select("vec_id", F.struct(F.col("label"), F.size("v").alias("dim")).alias("label"), F.expr(unit).alias("vec"))
 
 
 def _matrix(column) -> np.ndarray:
@@ -81,36 +91,43 @@ def _trees(depth: int, least: int) -> int:
     return max(least, math.ceil(math.log(1 - RECALL) / math.log(1 - (1 - math.acos(THRESHOLD) / math.pi) ** depth)))
 
 
-def _units(own: DataFrame, fn) -> DataFrame:
-    """Edges that ``fn(same, p, x, q, y)`` finds in each pair of parts of each group of ``g, n, id, vec``, n parts a group."""
+def _units(own: DataFrame, fn, schema: pa.Schema = _SCHEMA, ddl: str = _EDGE) -> DataFrame:
+    """What ``fn`` finds in each pair of parts of each group of ``g, n, id, aux, vec``, n parts a group."""
     own = own.withColumn("blk", F.pmod(F.xxhash64("id"), F.col("n")).cast("int"))
-    units = own.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).select("g", F.least("blk", "o").alias("i"), F.greatest("blk", "o").alias("j"), "blk", "id", "vec")
-    return _compare(units, fn)
+    units = own.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).select("g", F.least("blk", "o").alias("i"), F.greatest("blk", "o").alias("j"), "blk", "id", "aux", "vec")
+    return _compare(units, fn, schema, ddl)
 
 
-def _compare(units: DataFrame, fn) -> DataFrame:
-    """Edges that ``fn`` finds between part i and part j of each ``g, i, j``; a row ``g, i, j, blk, id, vec`` is in part blk."""
+def _compare(units: DataFrame, fn, schema: pa.Schema = _SCHEMA, ddl: str = _EDGE) -> DataFrame:
+    """What ``fn(same, p, x, u, q, y, v)`` finds between part i and part j of each ``g, i, j``: ids, vectors and aux of both.
+
+    A row ``g, i, j, blk, id, aux, vec`` is in part blk; vectors of a group have one length.
+    """
 
     def run(batches):
         def groups():
-            key, rows = None, []
+            key, parts = None, []
             for b in batches:
-                at, flat = b.column(5).offsets.to_numpy(), b.column(5).values.to_numpy(zero_copy_only=False)
-                for k, r in enumerate(zip(*(b.column(c).to_pylist() for c in range(5)), strict=True)):
-                    if r[:3] != key:
-                        if rows:
-                            yield key, rows
-                        key, rows = r[:3], []
-                    rows.append((r[3], r[4], flat[at[k] : at[k + 1]].copy()))
-            if rows:
-                yield key, rows
-
-        for (_, i, j), rows in groups():
-            p, q = [r for r in rows if r[0] == i], [r for r in rows if r[0] == j]
-            if p and q:
-                yield _emit(*fn(i == j, np.array([r[1] for r in p]), np.array([r[2] for r in p]), np.array([r[1] for r in q]), np.array([r[2] for r in q])))
-
-    return units.repartition("g", "i", "j").sortWithinPartitions("g", "i", "j", "id").mapInArrow(run, _EDGE)
+                keys = list(zip(*(b.column(c).to_pylist() for c in range(3)), strict=True))
+                cuts = [k for k in range(len(keys)) if not k or keys[k] != keys[k - 1]] + [len(keys)]
+                for lo, hi in zip(cuts, cuts[1:]):
+                    if keys[lo] != key:
+                        if parts:
+                            yield key, parts
+                        key, parts = keys[lo], []
+                    own = b.slice(lo, hi - lo)
+                    parts.append((own.column(3).to_numpy(), own.column(4).to_numpy(), own.column(5).to_numpy(), _matrix(own.column(6))))
+            if parts:
+                yield key, parts
+
+        for (_, i, j), parts in groups():
+            blk, ids, aux, x = (np.concatenate(c) for c in zip(*parts, strict=True))
+            p, q = blk == i, blk == j
+            if p.any() and q.any():
+                found = fn(i == j, ids[p], x[p], aux[p], ids[q], x[q], aux[q])
+                yield pa.RecordBatch.from_arrays([pa.array(np.asarray(c, f.type.to_pandas_dtype())) for c, f in zip(found, schema, strict=True)], schema=schema)
+
+    return units.repartition("g", "i", "j").sortWithinPartitions("g", "i", "j", "id").mapInArrow(run, ddl)
 
 
 def _forest(near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -134,13 +151,19 @@ def _forest(near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([*out_r, []]).astype(int), np.concatenate([*out_c, []]).astype(int)
 
 
-def _leaf_pairs(same, p, x, q, y):
+def _joined(same, p, x, u, q, y, v):
+    """Links that connect all which links between the two parts connect."""
+    s = x @ y.T
+    m, n = _forest(s >= THRESHOLD)
+    return p[m], q[n], s[m, n]
+
+
+def _leaf_pairs(same, p, x, u, q, y, v):
     """Within a part, near pairs both ways; between parts of a crowded leaf, links that connect all which are linked."""
     if same:
         return _top_pairs(p, x, K)
-    s = x @ y.T
-    m, n = _forest(s >= THRESHOLD)
-    return np.concatenate([p[m], q[n]]), np.concatenate([q[n], p[m]]), np.concatenate([s[m, n]] * 2)
+    a, b, s = _joined(same, p, x, u, q, y, v)
+    return np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([s, s])
 
 
 def _leaves(points: DataFrame, trees: int, seed: int) -> DataFrame:
@@ -169,7 +192,7 @@ def _leaves(points: DataFrame, trees: int, seed: int) -> DataFrame:
     dealt = materialize(d.select("name", "id", "vec", "depth", F.size("vec").alias("dim")).mapInArrow(project, "leaf string, name string, id long"), "embed-leaves")
     crowded = dealt.groupBy("leaf").count().where(F.col("count") > LEAF_PART).select("leaf", F.ceil(F.col("count") / LEAF_PART).cast("int").alias("n"))
     own = dealt.join(crowded, "leaf", "left").join(points.select("name", "id", "vec"), ["name", "id"])
-    return _units(own.select(F.col("leaf").alias("g"), F.coalesce("n", F.lit(1)).alias("n"), "id", "vec"), _leaf_pairs).where("a <> b").distinct()
+    return _units(own.select(F.col("leaf").alias("g"), F.coalesce("n", F.lit(1)).alias("n"), "id", F.lit(0).cast("long").alias("aux"), "vec"), _leaf_pairs).where("a <> b").distinct()
 
 
 def _lists(edges: DataFrame, k: int) -> DataFrame:
@@ -205,54 +228,62 @@ def _descend(points: DataFrame, lists: DataFrame, k: int, turn: int) -> DataFram
     return lists.union(found).union(found.select("b", "a", "sim").toDF("a", "b", "sim")).distinct()
 
 
-def _links(same, p, x, q, y):
-    """All links of two parts, each one way."""
-    s = x @ y.T
-    m, n = np.nonzero(s >= THRESHOLD)
-    a, b = p[m], q[n]
-    own = a < b if same else a != b
-    return a[own], b[own], s[m, n][own]
+def _degrees(same, p, x, u, q, y, v):
+    """How many vectors of the other part, copies included, link with each."""
+    near = x @ y.T >= THRESHOLD
+    if same:
+        np.fill_diagonal(near, False)
+        return p, near @ v
+    return np.concatenate([p, q]), np.concatenate([near @ v, u @ near])
 
 
 def _parts(n, size: int):
     return F.ceil(n / size).cast("int")
 
 
-def _closure(points: DataFrame, links: DataFrame) -> DataFrame:
-    """All links within the connected groups of ``links``: saturated lists enlarged to the whole group, compared in blocks.
+def _counts(points: DataFrame, comp: DataFrame) -> DataFrame:
+    """``id, d``: links of each vector within its connected group: saturated lists enlarged to the whole group, as counts.
 
-    A group is dealt in blocks of its members; each pair of blocks is one task's unit of bounded size.
+    A group is dealt in blocks of its members; each pair of blocks is one task's unit of bounded size and gives
+    one number a member, so no table of links is made.
     """
-    comp = connected_components(links, "a", "b").select(F.col("node").alias("id"), F.col("component").alias("g"))
     size = comp.groupBy("g").count()
-    own = points.join(comp, "id").select("g", "id", "vec").join(size, "g")
-    return _units(own.select("g", _parts(F.col("count"), GROUP_PART).alias("n"), "id", "vec"), _links)
+    own = points.join(comp, "id").join(size, "g").select("g", _parts(F.col("count"), GROUP_PART).alias("n"), "id", F.col("copies").alias("aux"), "vec")
+    return _units(own, _degrees, _COUNT, "id long, d long").groupBy("id").agg(F.sum("d").alias("d"))
 
 
 def _exact(points: DataFrame) -> DataFrame:
-    """All links within labels, every pair compared in blocks."""
+    """Links that connect all that links connect within labels, every pair compared in blocks."""
     own = points.join(F.broadcast(points.groupBy("label").count()), "label")
-    return _units(own.select(F.col("label").alias("g"), _parts(F.col("count"), LABEL_PART).alias("n"), "id", "vec"), _links)
+    return _units(own.select(F.col("label").alias("g"), _parts(F.col("count"), LABEL_PART).alias("n"), "id", F.lit(0).cast("long").alias("aux"), "vec"), _joined).where("a <> b").select("a", "b")
+
+
+def _recalled(same, p, x, u, q, y, v):
+    """Of each asked vector: exact links in the other part, and those of them in its own group."""
+    near = (x @ y.T >= THRESHOLD) & (p[:, None] != q[None, :])
+    return p, near.sum(axis=1), (near & (u[:, None] == v[None, :])).sum(axis=1)
 
 
-def _audit(points: DataFrame, links: DataFrame, seed: int) -> DataFrame:
+def _audit(points: DataFrame, comp: DataFrame, seed: int) -> DataFrame:
     """``label, found, true`` of every label: exact links of vectors chosen by hash against all rows of their label.
 
     Each label has its own sample, ``AUDIT`` vectors and four times the root of its size. A vector with
-    t links weighs 1 / (1 + t), so that a group of any size counts about as much as an isolated pair.
+    t links weighs 1 / (1 + t), so that a group of any size counts about as much as an isolated pair. A link
+    is found where its ends are in one group, since all pairs of a group are compared in the end.
     """
     d = points.join(F.broadcast(points.groupBy("label").count()), "label").withColumn("n", _parts(F.col("count"), LABEL_PART))
+    d = d.join(comp, "id", "left").withColumn("aux", F.coalesce("g", "id")).drop("g")
     asked = d.where(F.pmod(F.xxhash64("id", F.lit(seed)), F.col("count")) < AUDIT + 4 * F.sqrt("count"))
-    left = asked.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).select(F.col("label").alias("g"), F.lit(-1).alias("i"), "j", F.lit(-1).alias("blk"), "id", "vec")
+    left = asked.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).select(F.col("label").alias("g"), F.lit(-1).alias("i"), "j", F.lit(-1).alias("blk"), "id", "aux", "vec")
     blk = F.pmod(F.xxhash64("id"), F.col("n")).cast("int")
-    right = d.select(F.col("label").alias("g"), F.lit(-1).alias("i"), blk.alias("j"), blk.alias("blk"), "id", "vec")
-    true = _compare(left.union(right), _links).join(links.select("a", "b", F.lit(1).alias("hit")), ["a", "b"], "left")
-    each = true.groupBy("a").agg(F.count("*").alias("t"), F.count("hit").alias("f")).join(asked.select(F.col("id").alias("a"), "label"), "a")
+    right = d.select(F.col("label").alias("g"), F.lit(-1).alias("i"), blk.alias("j"), blk.alias("blk"), "id", "aux", "vec")
+    each = _compare(left.union(right), _recalled, _RECALL, "id long, t long, f long").groupBy("id").agg(F.sum("t").alias("t"), F.sum("f").alias("f"))
+    each = each.where("t > 0").join(asked.select("id", "label"), "id")
     return each.groupBy("label").agg(F.sum(F.col("f") / F.col("t") / (1 + F.col("t"))).alias("found"), F.sum(1 / (1 + F.col("t"))).alias("true"))
 
 
-def _both(half: DataFrame) -> DataFrame:
-    return half.select("a", "b").union(half.select("b", "a").toDF("a", "b"))
+def _groups(edges: DataFrame) -> DataFrame:
+    return materialize(connected_components(edges, "a", "b").select(F.col("node").alias("id"), F.col("component").alias("g")), "embed-groups")
 
 
 def near_duplicates(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", trees: int = TREES, k: int = K) -> tuple[DataFrame, Audit]:
@@ -260,22 +291,21 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embed
 
     Returns ``vec_id, n_links, component_id`` for every row, and the audit. Vectors that are
     null, empty, zero or hold null or non-finite components, and rows with a null label or
-    id, link with nothing; vectors of different lengths never link; identical vectors are one point
-    until the end, so a group of copies of any size costs one row. A repeated vec_id is its own
-    row. Other columns are ignored.
+    id, link with nothing and are components of their own; vectors of different lengths never link; identical
+    vectors are one point until the end, so a group of copies of any size costs one row; a repeated vec_id
+    gives a row for each of its rows, judged by its own vector. An empty table gives no rows; other columns are ignored.
 
     First lists come from random-hyperplane trees, ``trees`` at least; each round compares neighbours
     of neighbours and keeps the best k of a list and every link; saturated lists then grow to the
     whole connected group. A brute-force audit of each label decides whether it needs more trees and
     rounds; after ``ATTEMPTS`` all pairs of the labels that still fall short are compared.
     """
-    spark = df.sparkSession
-    rows = usable(df, id_col, vec_col, label_col)
-    rows = materialize(rows.withColumn("h", F.xxhash64("label", "vec")), "embed")
-    reps = rows.groupBy("label", "h", "vec").agg(F.min("id").alias("id"), F.count("*").alias("copies"))
-    reps = materialize(reps, "embed-points")
+    given = _rows(df, id_col, vec_col, label_col)
+    rows = materialize(usable(given).withColumn("h", F.xxhash64("label", "vec")), "embed")
+    reps = rows.groupBy("label", "h", "vec").agg(F.min("vec_id").alias("first"), F.count("*").alias("copies"))
+    reps = materialize(reps.withColumn("id", F.monotonically_increasing_id()), "embed-points")
     points = reps.select("id", "label", "vec")
-    active, lists, links, audit = points, None, None, Audit(0.0, 0.0)
+    active, lists, edges, audit = points, None, None, Audit(0.0, 0.0)
     for attempt in range(ATTEMPTS):
         first = _leaves(active, trees, 11 + attempt)
         last, lists = lists, materialize(_lists(first if lists is None else lists.union(first).distinct(), k), "embed-lists")
@@ -283,9 +313,10 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embed
             discard(last) if last is not None else None
             last, lists = lists, materialize(_lists(_descend(active, lists, k, attempt * ROUNDS + turn), k), "embed-lists")
         discard(last)
-        found = _both(_closure(active, lists.where(F.col("sim") >= THRESHOLD)))
-        links = materialize((found if links is None else links.union(found)).distinct(), "embed-links")
-        seen = materialize(_audit(active, links, attempt), "embed-audit")
+        found = lists.where(F.col("sim") >= THRESHOLD).select("a", "b")
+        groups = _groups(found if edges is None else edges.union(found))
+        edges = groups.select("id", "g").toDF("a", "b")
+        seen = materialize(_audit(active, groups, attempt), "embed-audit")
         short = seen.where(F.col("found") < RECALL * F.col("true"))
         done = seen.join(short.select("label"), "label", "left_anti").agg(F.sum("found").alias("f"), F.sum("true").alias("t")).first()
         audit = Audit(audit.found + (done.f or 0), audit.true + (done.t or 0))
@@ -295,14 +326,13 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embed
         lists = lists.join(active.select(F.col("id").alias("a")), "a", "left_semi")
         trees *= 2
     else:
-        links = materialize(links.union(_both(_exact(active))).distinct(), "embed-links")
+        groups = _groups(edges.union(_exact(active)))
         rest = short.agg(F.sum("true").alias("t")).first().t
         audit = Audit(audit.found + rest, audit.true + rest)
-    comp = connected_components(links, "a", "b")
-    copies = reps.select(F.col("id").alias("b"), "copies")
-    degree = links.join(copies, "b").groupBy("a").agg(F.sum("copies").alias("d"))
-    found = reps.select("label", "h", "vec", "id", "copies").join(degree, F.col("id") == F.col("a"), "left").join(comp, F.col("id") == F.col("node"), "left")
-    found = found.select("label", "h", "vec", (F.coalesce("d", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
-    own = rows.join(found, ["label", "h", "vec"]).select("id", "n_links", "component_id")
-    odd = df.select(F.col(id_col).cast("long").alias("vec_id")).join(own.select(F.col("id").alias("vec_id")), "vec_id", "left_anti")
-    return own.withColumnRenamed("id", "vec_id").unionByName(odd.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))), audit
+    log.info("audited recall %.6f over a weight of %.1f", audit.recall, audit.true)
+    degree = _counts(reps.select("id", "copies", "vec"), groups)
+    least = reps.join(groups, "id").groupBy("g").agg(F.min("first").alias("component_id"))
+    found = reps.join(degree, "id", "left").join(groups, "id", "left").join(least, "g", "left")
+    found = found.select("label", "h", "vec", (F.coalesce("d", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component_id", "first").alias("component_id"))
+    own = rows.join(found, ["label", "h", "vec"]).select("vec_id", "n_links", "component_id")
+    return own.unionByName(given.where("NOT sane").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))), audit
