@@ -23,7 +23,12 @@ SALTS = 16
 _DROP = {"script", "style", "nav", "header", "footer", "aside", "form", "noscript", "template", "iframe", "button", "select", "svg", "canvas", "object", "head", "menu", "dialog"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 _BLOCK = {"address", "article", "blockquote", "body", "br", "dd", "div", "dl", "dt", "figcaption", "figure", "h1", "h2", "h3", "h4", "h5", "h6", "hr", "html", "li", "main", "ol", "p", "pre", "section", "table", "tbody", "td", "th", "thead", "tr", "ul"}
-_NOISE = re.compile(r"(?:^|[\s_-])(?:ad|ads|advert\w*|banner|comments?|cookie\w*|disqus|footer|header|menu|nav\w*|newsletter|notice|popup|promo\w*|related|share|sharing|sidebar|social|sponsor\w*|subscribe|widget)(?:$|[\s_-])", re.I)
+#: Whole names, of a class or id, of parts that are no article text; ``social-history`` or ``post-header`` is none of them.
+_NOISE = re.compile(
+    r"(?:^|\s)(?:(?:site|page|global|top|bottom|user|reader|main)[_-])?"
+    r"(?:ad|ads|advert\w*|banner|comments?|cookies?|disqus|footer|header|menu|nav|navbar|navigation|newsletter|notice|popup|promo|promotion|related|share|sharing|sidebar|social|sponsor|sponsored|subscribe|widget)"
+    r"(?:[_-](?:area|articles|banner|bar|block|box|buttons?|consent|container|footer|form|header|icons?|links?|list|menu|nav|notice|posts|section|slot|stories|thread|unit|widget|wrapper))*(?=$|\s)", re.I,
+)
 _SPACE = re.compile(r"\s+")
 
 
