@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import heapq
 import json
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,8 +21,8 @@ PARTS = 32
 class SlotMap:
     """A version of the map from cells to shards.
 
-    A cell is ``slot * parts + part``. A slot moves as a whole unless it alone holds more
-    than a shard's share; only then its parts move one by one.
+    A cell is ``slot * parts + part``. Part 0 of a slot holds all its texts but hot ones and moves as a whole;
+    the others hold copies of texts that alone exceed a shard's share and move one by one.
     """
 
     version: int
@@ -47,33 +48,37 @@ class SlotMap:
             out[s] += b
         return out
 
-    def _units(self) -> list[list[int]]:
-        share = sum(self.bytes) / max(1, self.n_shards)
-        units = []
-        for s in range(self.slots):
-            cells = range(s * self.parts, (s + 1) * self.parts)
-            if sum(self.bytes[c] for c in cells) <= share:
-                units.append(list(cells))
-            else:
-                units += [[c] for c in cells]
-        return units
+    def _units(self) -> list[int]:
+        """Cells with rows, heaviest first."""
+        return sorted((c for c, n in enumerate(self.rows) if n), key=lambda c: (-self.bytes[c], c))
 
 
-def cells(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", slots: int = SLOTS, parts: int = PARTS) -> DataFrame:
+def _size(text: Column) -> Column:
+    return F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 1
+
+
+def hot_texts(df: DataFrame, n_shards: int, text_col: str = "text") -> list[int]:
+    """Hashes of texts whose copies alone hold more bytes than a shard's share; fewer than ``n_shards``."""
+    by_text = df.groupBy(F.xxhash64(text_col).alias("h")).agg(F.sum(_size(F.col(text_col))).alias("b"))
+    top = by_text.orderBy(F.desc("b"), "h").limit(n_shards).collect()
+    total = df.agg(F.sum(_size(F.col(text_col)))).first()[0] or 0
+    return [r.h for r in top if r.b * n_shards > total]
+
+
+def cells(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", slots: int = SLOTS, parts: int = PARTS, hot: list[int] | None = None) -> DataFrame:
     """Per row: ``id, size, text_crc32, vslot, part``.
 
-    The slot comes from the text, so equal texts share a slot; the part comes from the id, so
-    a group of copies of any size is spread over ``parts`` cells. A null text counts as no
-    bytes and hashes alike everywhere; a null id goes to one part.
+    The slot comes from the text, so equal texts share a slot, and part 0 of it; only copies of a text whose
+    hash is in ``hot`` are spread over the other parts, by id. A null text counts as no
+    bytes and hashes alike everywhere; rows alike in id and text share a cell.
     """
     text, row_id = F.col(text_col), F.col(id_col)
+    h = F.xxhash64(text)
+    spread = F.when(h.isin(hot), F.pmod(F.xxhash64(row_id), F.lit(parts - 1)) + 1).otherwise(0) if hot else F.lit(0)
     return df.select(
-        row_id.alias("doc_id"),
-        (F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 1).alias("size"),
-        F.crc32(F.coalesce(text, F.lit(""))).alias("text_crc32"),
-        F.pmod(F.xxhash64(text), F.lit(slots)).cast("int").alias("vslot"),
-        F.pmod(F.xxhash64(row_id), F.lit(parts)).cast("int").alias("part"),
-    )
+        row_id.alias("doc_id"), _size(text).alias("size"), F.crc32(F.coalesce(text, F.lit(""))).alias("text_crc32"),
+        F.pmod(h, F.lit(slots)).cast("int").alias("vslot"), spread.cast("int").alias("part"),
+    )
 
 
 def plan(placed: DataFrame, n_shards: int, slots: int = SLOTS, parts: int = PARTS) -> SlotMap:
@@ -85,65 +90,63 @@ def plan(placed: DataFrame, n_shards: int, slots: int = SLOTS, parts: int = PART
     rows, size = [0] * (slots * parts), [0] * (slots * parts)
     for r in placed.groupBy("vslot", "part").agg(F.count("*").alias("n"), F.sum("size").alias("b")).toLocalIterator():
         rows[r.vslot * parts + r.part], size[r.vslot * parts + r.part] = r.n, r.b
-    empty = SlotMap(1, n_shards, slots, parts, [0] * (slots * parts), rows, size)
     shard = [0] * (slots * parts)
     heap = [(0, s) for s in range(n_shards)]
-    for unit in sorted(empty._units(), key=lambda u: (-sum(size[c] for c in u), u[0])):
-        load, s = heapq.heappop(heap)
-        for c in unit:
-            shard[c] = s
-        heapq.heappush(heap, (load + sum(size[c] for c in unit), s))
+    for c in SlotMap(1, n_shards, slots, parts, shard, rows, size)._units():
+        load, shard[c] = heapq.heappop(heap)
+        heapq.heappush(heap, (load + size[c], shard[c]))
     return SlotMap(1, n_shards, slots, parts, shard, rows, size)
 
 
 def rebalance(old: SlotMap, n_shards: int) -> SlotMap:
-    """The next version for ``n_shards``: an edit that moves as few slots as it can.
+    """The next version for ``n_shards``: an edit that moves as few cells as it can.
 
-    Slots leave shards that hold more than the new share and go to the added shards, or
+    Cells leave shards that hold more than the new share and go to the added shards, or
     leave removed shards for the lightest ones; every other entry stays.
     """
     if n_shards < 1:
         raise ValueError("n_shards must be positive")
-    size = old.bytes
-    units = SlotMap(old.version, n_shards, old.slots, old.parts, old.shard, old.rows, size)._units()
-    share = sum(size) / n_shards
-    by_shard: dict[int, list[tuple[int, list[int]]]] = {}
-    for u in units:
-        by_shard.setdefault(old.shard[u[0]], []).append((sum(size[c] for c in u), u))
-    shard, load, loose = list(old.shard), [0.0] * n_shards, []
-    for s, own in by_shard.items():
-        own.sort(key=lambda x: (-x[0], x[1][0]))
-        for b, u in own:
-            if s < n_shards and load[s] + b <= share:
-                load[s] += b
-            elif b or s >= n_shards:
-                loose.append((b, u))
-    for b, u in sorted(loose, key=lambda x: (-x[0], x[1][0])):
-        s = min(range(old.n_shards, n_shards) or range(n_shards), key=lambda k: (load[k], k))
-        load[s] += b
-        for c in u:
-            shard[c] = s
-    return SlotMap(old.version + 1, n_shards, old.slots, old.parts, shard, old.rows, size)
+    share = sum(old.bytes) / n_shards
+    shard, load, loose = [s if s < n_shards else 0 for s in old.shard], [0.0] * n_shards, []
+    for c in old._units():
+        s, b = old.shard[c], old.bytes[c]
+        if s < n_shards and load[s] + b <= share:
+            load[s] += b
+        else:
+            loose.append(c)
+    added = range(old.n_shards, n_shards) or range(n_shards)
+    for c in loose:
+        shard[c] = min(added, key=lambda k: (load[k], k))
+        load[shard[c]] += old.bytes[c]
+    return SlotMap(old.version + 1, n_shards, old.slots, old.parts, shard, old.rows, old.bytes)
 
 
 def map_table(spark: SparkSession, m: SlotMap) -> DataFrame:
-    """The map as rows: ``version, n_shards, cell, vslot, part, shard, start, rows, bytes``."""
+    """The map as rows: ``n_shards, cell, vslot, part, shard, start, rows, bytes``."""
     cols = {"shard": m.shard, "start": m.starts(), "rows": m.rows, "bytes": m.bytes}
     one = spark.range(1).select(*(_numbers(v).alias(k) for k, v in cols.items()))
     return one.select(F.posexplode(F.arrays_zip(*cols)).alias("cell", "x")).select(
-        F.lit(m.version).alias("version"), F.lit(m.n_shards).alias("n_shards"), "cell",
+        F.lit(m.n_shards).alias("n_shards"), "cell",
         F.expr(f"cast(cell div {m.parts} as int)").alias("vslot"), (F.col("cell") % m.parts).alias("part"),
         F.col("x.shard").cast("int").alias("shard"), "x.start", "x.rows", "x.bytes",
     )
 
 
 def store(spark: SparkSession, m: SlotMap, path: str | None = None) -> str:
-    """Write a version of the map; readers name the version they follow. Returns the path."""
-    path = path or f"{shared_dir(spark)}/strandframe/slot-map"
-    map_table(spark, m).coalesce(1).write.mode("overwrite").parquet(f"{path}/version={m.version}")
+    """Write a version of the map beside the versions before it, never over one. Returns the path of all versions."""
+    path = path or f"{shared_dir(spark)}/strandframe/slot-map-{uuid.uuid4().hex}"
+    map_table(spark, m).coalesce(1).write.mode("errorifexists").parquet(f"{path}/version={m.version}")
     return path
 
 
+def load(spark: SparkSession, path: str, version: int | None = None) -> SlotMap:
+    """A stored version of the map, the last by default."""
+    if version is None:
+        version = spark.read.parquet(path).agg(F.max("version")).first()[0]
+    rows = spark.read.parquet(f"{path}/version={version}").orderBy("cell").collect()
+    return SlotMap(version, rows[0].n_shards, rows[-1].vslot + 1, rows[-1].part + 1, [r.shard for r in rows], [r.rows for r in rows], [r.bytes for r in rows])
+
+
 def _numbers(values: list[int]) -> Column:
     return F.from_json(F.lit(json.dumps(values)), "array<bigint>")
 
@@ -167,7 +170,7 @@ def shard(df: DataFrame, n_shards: int = 8, id_col: str = "doc_id", text_col: st
     columns of ``df`` are ignored. Equal texts stay in one shard unless they alone exceed
     a shard's share of the bytes.
     """
-    placed = cells(df, id_col, text_col, slots, parts)
+    placed = cells(df, id_col, text_col, slots, parts, hot_texts(df, n_shards, text_col))
     m = plan(placed, n_shards, slots, parts)
     store(df.sparkSession, m, store_path)
     return assign(placed, m), m

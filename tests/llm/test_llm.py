@@ -30,10 +30,34 @@ def test_sharding(spark):
     moved = {b for a, b in zip(m.shard, again.shard) if a != b}
     assert moved == {8} and again.version == 2
     small = sharding.rebalance(m, 7)
-    assert max(small.shard) < 7 and all(a == b for a, b in zip(m.shard, small.shard) if a < 7)
+    assert max(small.shard) < 7 and all(a == b for a, b, n in zip(m.shard, small.shard, m.rows) if a < 7 and n)
     assert sharding.shard(docs(spark, []), 8)[0].count() == 0
 
 
+def test_sharding_against_brute_force(spark, tmp_path):
+    """Sizes, checksums, near equal bytes; only copies of the one hot text part, small groups of its slot stay together."""
+    import zlib
+
+    hot = "the hot text " * 20
+    texts = [None, "", *[hot] * 3000, *(f"group {k % 40}" for k in range(400)), *(f"é {k} " * (k % 90) for k in range(2000))]
+    path = f"{tmp_path}/map"
+    rows, m = sharding.shard(docs(spark, texts), 8, slots=3, store_path=path)
+    got = rows.collect()
+    raw = [(t or "").encode() for t in texts]
+    assert sorted((r.doc_id, r.size, r.text_crc32) for r in got) == [(k, len(b) + 1, zlib.crc32(b)) for k, b in enumerate(raw)]
+    where: dict = {}
+    for r in got:
+        where.setdefault(texts[r.doc_id], set()).add(r.shard)
+    assert all(len(s) == 1 for t, s in where.items() if t != hot) and len(where[hot]) > 1
+    rows, _ = sharding.shard(docs(spark, texts), 8)
+    load = {s: n for s, n in rows.groupBy("shard").agg(F.sum("size")).collect()}
+    assert max(load.values()) < 1.02 * sum(load.values()) / 8
+    sharding.store(spark, sharding.rebalance(m, 9), path)
+    assert sharding.load(spark, path) == sharding.rebalance(m, 9) and sharding.load(spark, path, 1) == m
+    with pytest.raises(Exception, match="(?i)exist"):
+        sharding.store(spark, m, path)
+
+
 def brute_hits(text, items, n=13):
     w = decontaminate.words(text)
     hit, found = set(), set()
@@ -136,15 +160,16 @@ def test_bpe_long_words_and_any_ranks(spark):
             assert r.ids == want
 
 
-def test_block_max_search_is_exact():
+@pytest.mark.parametrize("head", [0, 10, 40])
+def test_block_max_search_is_exact(head):
     rng = np.random.default_rng(0)
     w = rng.random((500, 40)) * (rng.random((500, 40)) < 0.1)
     w /= np.maximum(np.linalg.norm(w, axis=1, keepdims=True), 1e-12)
-    index = toxicity.BlockMaxIndex.build(w)
+    index = toxicity.BlockMaxIndex.build(w, head)
     for _ in range(20):
         ids = sorted(rng.choice(40, 5, replace=False).tolist())
         q = rng.random(5)
-        n, s = index.search(ids, q, 15)
+        n, s = index.search([(np.array(ids), q)], 15)[0]
         full = w[:, ids] @ q
         order = np.lexsort((np.arange(500), -full))[:15]
         order = order[full[order] > 0]
