@@ -14,36 +14,17 @@ from strandframe.plans.session import materialize, shared_dir
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
-def _rows(docs: DataFrame) -> DataFrame:
-    """The rows under a hash of id and text as ``doc_id``, so that each text is judged by itself; the true id is ``own_id``."""
-    return docs.select(F.xxhash64("doc_id", "text").alias("doc_id"), F.col("doc_id").alias("own_id"), *COLUMNS[1:])
-
-
-def _kept(rows: DataFrame, rejected: DataFrame) -> DataFrame:
-    """The rows whose hash is not among the rejected, with their true ids."""
-    return rows.join(rejected.select("doc_id"), "doc_id", "left_anti").select(F.col("own_id").alias("doc_id"), *COLUMNS[1:])
-
-
-def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
-    """Rows of docs whose id is not among the rejected; rows with a null id stay."""
-    return docs.select(*COLUMNS).join(rejected.select("doc_id"), "doc_id", "left_anti").select(*COLUMNS)
-
-
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents predicted toxic."""
+    """Drops the rows predicted toxic; every row is judged by its own text, with or without an id."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"), ~held_out(F.col("doc_id"), 5, 0))
-    rows = _rows(docs)
-    return _kept(rows, toxicity.score(rows, model).where("predicted = 1"))
+    return toxicity.score(docs, model, keep=COLUMNS).where("predicted = 0").select("kept.*")
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents predicted of low quality."""
-    rows = _rows(docs)
-    stats = materialize(quality.document_statistics(rows), "stats")
-    ids = rows.where("own_id IS NOT NULL").select("doc_id", "own_id").distinct()
-    own = stats.join(ids, "doc_id").select(F.col("own_id").alias("doc_id"), "stats")
-    model = quality.fit(own, table(spark, sf_dir, "labels"), ~held_out(F.col("doc_id"), 5, 0))
-    return _kept(rows, quality.score(stats, model).where("predicted = 0"))
+    """Drops the rows predicted of low quality, each by its own text."""
+    stats = materialize(quality.document_statistics(docs, keep=COLUMNS), "stats")
+    model = quality.fit(stats, table(spark, sf_dir, "labels"), ~held_out(F.col("doc_id"), 5, 0))
+    return quality.score(stats, model).where("predicted = 1").select("kept.*")
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,7 +33,8 @@ def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     Rows that repeat both id and text count as one document; different texts under one id both
     stay; rows with a null id have no place in a group and all stay.
     """
-    kept = _without(docs, simhash.near_duplicates(docs).where("doc_id <> component_id"))
+    copies = simhash.near_duplicates(docs).where("doc_id <> component_id").select("doc_id")
+    kept = docs.select(*COLUMNS).join(copies, "doc_id", "left_anti").select(*COLUMNS)
     if not _repeats(docs):
         return kept
     return kept.where("doc_id IS NOT NULL").dropDuplicates(["doc_id", "text"]).unionByName(kept.where("doc_id IS NULL"))
@@ -64,10 +46,9 @@ def _repeats(docs: DataFrame) -> bool:
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that the contamination rule marks."""
-    rows = _rows(docs)
-    found = decontaminate.judged(decontaminate.find(rows, table(spark, sf_dir, "benchmark")))
-    return _kept(rows, found.where("contaminated"))
+    """Drops the rows that the contamination rule marks."""
+    found = decontaminate.judged(decontaminate.find(docs, table(spark, sf_dir, "benchmark"), keep=COLUMNS))
+    return found.where("NOT contaminated").select("kept.*")
 
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
