@@ -10,12 +10,15 @@ DNA, RNA, AMINO = "TCAG", "UCAG", "ACDEFGHIKLMNPQRSTVWY"
 MURPHY_10 = "LCAGSPFEKH"
 ALIASES = {"DNA": ("NU", "AT"), "RNA": ("NT", "AU"), "AMINO": ("XBZJUO", "ADELCK")}
 COMPLEMENT = {"DNA": ("TCAG", "AGTC"), "RNA": ("UCAG", "AGUC")}
+#: Amino acids and the symbols that stand for their groups in the reduced alphabet.
+GROUPS_OF_10 = {"V": "L", "I": "L", "M": "L", "T": "S", "Y": "F", "W": "F", "D": "E", "N": "E", "Q": "E", "R": "K"}
 #: The bacterial code in TCAG order and its start codons.
 CODE = "FFLLSSSSYY**CC*WLLLLPPPPHHQQRRRRIIIMTTTTNNKKSSRRVVVVAAAADDEEGGGG"
 STARTS = ("ATG", "GTG", "TTG", "ATT", "ATC", "ATA")
 #: Hydropathy of the twenty amino acids in the order of AMINO.
 HYDROPATHY = (1.8, 2.5, -3.5, -3.5, 2.8, -0.4, -3.2, 4.5, -3.9, 3.8, 1.9, -3.5, -1.6, -3.5, -4.5, -0.8, -0.7, 4.2, -0.9, -1.3)
 
+SYMBOLS = {"DNA": DNA, "RNA": RNA, "AMINO": AMINO, "MURPHY_10": MURPHY_10}
 CODONS = {a + b + c: CODE[16 * i + 4 * j + k] for i, a in enumerate(DNA) for j, b in enumerate(DNA) for k, c in enumerate(DNA)}
 STOPS = tuple(k for k, v in CODONS.items() if v == "*")
 
@@ -28,15 +31,29 @@ def clean(text: Column, alphabet: str = "DNA") -> Column:
     return F.translate(F.upper(F.regexp_replace(text, f"[^{keep}{keep.lower()}]", "")), source, target)
 
 
+def convert(seq: Column, source: str, target: str) -> Column:
+    """A sequence of one alphabet in another: DNA and RNA both ways, AMINO to MURPHY_10 and back.
+
+    The groups of the reduced alphabet keep their symbol on the way back. Symbols outside of the source alphabet raise an error; null gives null.
+    """
+    tables = {("DNA", "RNA"): {"T": "U"}, ("RNA", "DNA"): {"U": "T"}, ("AMINO", "MURPHY_10"): GROUPS_OF_10, ("MURPHY_10", "AMINO"): {}}
+    if (source, target) not in tables:
+        raise ValueError(f"no conversion from {source} to {target}")
+    table = tables[source, target]
+    bad = seq.rlike(f"[^{SYMBOLS[source]}]")
+    done = F.translate(seq, "".join(table), "".join(table.values())) if table else seq
+    return F.when(bad, F.raise_error(F.concat(F.lit(f"not all symbols are {source}: "), seq)).cast("string")).otherwise(done)
+
+
 def count_of(seq: Column, symbol: str) -> Column:
     return F.length(seq) - F.length(F.replace(seq, F.lit(symbol), F.lit("")))
 
 
 def detect(text: Column) -> Column:
-    """The alphabet with the most canonical and then the most valid symbols; ties: DNA, RNA, AMINO."""
+    """The alphabet with the most canonical and then the most valid symbols; ties: DNA, RNA, AMINO, MURPHY_10."""
     up = F.upper(F.regexp_replace(text, "[^A-Za-z]", ""))
     valid = lambda s: F.length(F.regexp_replace(up, f"[^{s}]", ""))
-    ranked = [F.struct(valid(s).alias("c"), valid(s + ALIASES[n][0]).alias("v"), F.lit(-k).alias("p"), F.lit(n).alias("n")) for k, (n, s) in enumerate({"DNA": DNA, "RNA": RNA, "AMINO": AMINO}.items())]
+    ranked = [F.struct(valid(s).alias("c"), valid(s + ALIASES.get(n, ("", ""))[0]).alias("v"), F.lit(-k).alias("p"), F.lit(n).alias("n")) for k, (n, s) in enumerate(SYMBOLS.items())]
     return F.greatest(*ranked).n
 
 
@@ -64,6 +81,11 @@ def property_score(seq: Column, values: dict[str, float], mean: bool = True) ->
     return F.when(n > 0, total / n).otherwise(0.0) if mean else total
 
 
+def hydropathy(seq: Column, mean: bool = True) -> Column:
+    """Mean (or sum) of the hydropathy of amino acids; other symbols do not count, none give 0."""
+    return property_score(seq, dict(zip(AMINO, HYDROPATHY)), mean)
+
+
 def gc(seq: Column) -> Column:
     n = F.length(seq)
     return F.when(n > 0, (count_of(seq, "G") + count_of(seq, "C")) / n).otherwise(0.0)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import bisect
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -45,21 +47,28 @@ def merge_overlaps(a: DataFrame, tolerance: int = 0) -> DataFrame:
     return merge(a.select(F.col("target").alias("contig"), F.col("t_start").alias("start"), F.col("t_end").alias("end"), "strand"), tolerance)
 
 
-def cull_overlaps(a: DataFrame, max_overlap: float = 0.1) -> DataFrame:
-    """Per target, in falling order of score, drops a row whose overlap with any kept one exceeds the share of its own length.
+def shift(a: DataFrame, x: int, y: int | None = None) -> DataFrame:
+    """Moves the target interval; start by x, end by y (by x too if none is given)."""
+    return a.withColumns({"t_start": F.col("t_start") + x, "t_end": F.col("t_end") + (x if y is None else y)})
+
+
+def reverse_complement(a: DataFrame, length: Column) -> DataFrame:
+    """Target intervals and strands as seen from the other strand of a target of that length."""
+    return a.withColumns({"t_start": length - F.col("t_end"), "t_end": length - F.col("t_start"), "strand": -F.col("strand")})
+
+
+def cull_overlaps(a: DataFrame, max_overlap: float = 0.1, key: str = "score") -> DataFrame:
+    """Per target, in falling order of ``key``, drops a row whose overlap with any kept one exceeds the share of its own ``aln_len``.
 
     Kept intervals stay in a sorted list, searched by bisection over starts.
     """
-    import bisect
-
     def run(batches):
         target, kept, longest = None, [], 0
         for f in batches:
             ok = []
-            for t, s, e in zip(f.target, f.t_start, f.t_end):
+            for t, s, e, n in zip(f.target, f.t_start, f.t_end, f.aln_len):
                 if t != target:
                     target, kept, longest = t, [], 0
-                n = max(1, e - s)
                 at = bisect.bisect_left(kept, (s - longest, s - longest))
                 good = True
                 while at < len(kept) and kept[at][0] < e:
@@ -73,27 +82,27 @@ def cull_overlaps(a: DataFrame, max_overlap: float = 0.1) -> DataFrame:
                     longest = max(longest, e - s)
             yield f[ok]
 
-    return a.repartition("target").sortWithinPartitions("target", F.desc("score"), "row_id").mapInPandas(run, a.schema)
+    return a.repartition("target").sortWithinPartitions("target", F.desc(key), "row_id").mapInPandas(run, a.schema)
 
 
 def chain(a: DataFrame, max_gap: int = 1000) -> DataFrame:
     """Collinear chains per query, target and strand: ``row_id, chain, chain_score``.
 
     Rows in query order join the best earlier row whose gaps on both axes are between 0 and
-    ``max_gap``; target coordinates are negated on the reverse strand. The look-back ends where the query gap exceeds
-    ``max_gap``. A row belongs to the chain of its best end, taken in falling order of score.
+    ``max_gap``; target coordinates are negated on the reverse strand. Earlier rows wait in a list sorted by their query ends,
+    so only those whose ends lie within ``max_gap`` before a row are compared. A row belongs to the chain of its best end, taken in falling order of score.
     """
 
     def solve(rows):
         n = len(rows)
         score, prev = [r[3] for r in rows], [-1] * n
+        ends: list[tuple[int, int]] = []
         for j in range(n):
-            for i in range(j - 1, -1, -1):
-                gq, gt = rows[j][1] - rows[i][2], rows[j][4] - rows[i][5]
-                if rows[j][1] - rows[i][1] > max_gap + rows[i][2] - rows[i][1] + max(r[2] - r[1] for r in rows[i : i + 1]):
-                    continue
-                if 0 <= gq <= max_gap and 0 <= gt <= max_gap and score[i] + rows[j][3] > score[j]:
+            lo, hi = bisect.bisect_left(ends, (rows[j][1] - max_gap, -1)), bisect.bisect_right(ends, (rows[j][1], n))
+            for i in sorted((i for _, i in ends[lo:hi]), reverse=True):
+                if 0 <= rows[j][4] - rows[i][5] <= max_gap and score[i] + rows[j][3] > score[j]:
                     score[j], prev[j] = score[i] + rows[j][3], i
+            bisect.insort(ends, (rows[j][2], j))
         used, out = [False] * n, []
         for end in sorted(range(n), key=lambda k: (-score[k], rows[k][0])):
             own, k = [], end
@@ -143,24 +152,3 @@ def cigar_ops(d: DataFrame, cigar: str = "cigar") -> DataFrame:
     rest = [c for c in d.columns if c != "_ops"]
     e = d.withColumn("_ops", ops).select(*rest, "_ops", F.posexplode("_ops").alias("idx", "_x"))
     return e.select(*rest, "idx", "_x.op", "_x.n", before("query").alias("q_off"), before("target").alias("t_off"), before("alignment").alias("a_off"))
-
-
-def variants(d: DataFrame) -> DataFrame:
-    """Variants of ``row_id, contig, t_start, q_start, cigar, q_seq, t_seq``: substitutions, insertions and deletions at target coordinates; M runs are compared base by base."""
-    o = cigar_ops(d)
-    q = lambda n: F.substring("q_seq", F.col("q_start") + F.col("q_off") + 1, n)
-    t = lambda n: F.substring("t_seq", F.col("t_start") + F.col("t_off") + 1, n)
-    at, n = F.col("t_start") + F.col("t_off"), F.col("n")
-    whole = o.where(F.col("op").isin("X", "I", "D")).select("row_id", "contig", at.alias("start"), F.when(F.col("op") == "I", at).otherwise(at + n).alias("end"), F.when(F.col("op") == "I", "").otherwise(t(n)).alias("ref"), F.when(F.col("op") == "D", "").otherwise(q(n)).alias("alt"))
-    m = o.where("op = 'M'").withColumn("i", F.explode(F.sequence(F.lit(0), n - 1)))
-    a, b = F.substring("t_seq", F.col("t_start") + F.col("t_off") + F.col("i") + 1, F.lit(1)), F.substring("q_seq", F.col("q_start") + F.col("q_off") + F.col("i") + 1, F.lit(1))
-    snp = m.where(a != b).select("row_id", "contig", (at + F.col("i")).alias("start"), (at + F.col("i") + 1).alias("end"), a.alias("ref"), b.alias("alt"))
-    return whole.unionByName(snp)
-
-
-def pileup(bases: DataFrame, reference: DataFrame, min_depth: int = 2, min_freq: float = 0.5) -> DataFrame:
-    """Alleles of ``contig, pos, allele`` that differ from ``contig, pos, ref`` and reach depth and frequency."""
-    n = bases.groupBy("contig", "pos", "allele").agg(F.count("*").alias("n"))
-    d = n.withColumn("depth", F.sum("n").over(Window.partitionBy("contig", "pos")))
-    d = d.where((F.col("depth") >= min_depth) & (F.col("n") / F.col("depth") >= min_freq)).join(reference, ["contig", "pos"])
-    return d.where("allele <> ref").select("contig", "pos", "ref", "allele", "n", "depth")

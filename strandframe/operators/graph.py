@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -25,17 +25,46 @@ def subgraph(edges: DataFrame, nodes: DataFrame, keep: DataFrame) -> tuple[DataF
     return e, nodes.join(k, "id", "left_semi")
 
 
+def reverse_edges(edges: DataFrame) -> DataFrame:
+    """Every edge the other way, its attributes kept."""
+    return edges.select(*(F.col({"u": "v", "v": "u"}.get(c, c)).alias(c) for c in edges.columns))
+
+
+def join_paths(a: Column, b: Column) -> Column:
+    """Two paths (arrays of nodes) as one; the second must start where the first ends, else an error is raised."""
+    joined = F.concat(a, F.slice(b, F.lit(2), F.greatest(F.size(b) - 1, F.lit(0))))
+    return F.when(F.element_at(a, -1) == F.element_at(b, 1), joined).otherwise(F.raise_error(F.lit("the paths do not meet")).cast("array<bigint>"))
+
+
+def _weight(v: Column, invert: bool) -> Column:
+    """1e12 for values up to 1e-9; else the value or its inverse."""
+    return F.when(v <= 1e-9, F.lit(1e12)).otherwise(1 / v if invert else v)
+
+
 def weighted(edges: DataFrame, weight: str, directed: bool = True, invert: bool = False, reduce: str = "min", default: float = 1.0) -> DataFrame:
-    """One ``w`` per (u, v): default for null, 1/v if inverted with 1e12 at v <= 1e-9, parallel edges reduced by min, max, sum or mean."""
-    w = F.coalesce(F.col(weight).cast("double"), F.lit(default))
-    if invert:
-        w = F.when(w <= 1e-9, F.lit(1e12)).otherwise(1 / w)
-    e = edges.select("u", "v", w.alias("w"))
+    """One ``w`` per (u, v): default for null, 1e12 at v <= 1e-9, else v or 1/v if inverted; parallel edges reduced by min, max, sum or mean."""
+    e = edges.select("u", "v", _weight(F.coalesce(F.col(weight).cast("double"), F.lit(default)), invert).alias("w"))
     if not directed:
         e = e.union(e.where("u <> v").select("v", "u", "w"))
     return e.groupBy("u", "v").agg({"min": F.min, "max": F.max, "sum": F.sum, "mean": F.avg}[reduce]("w").alias("w"))
 
 
+def node_weighted(edges: DataFrame, nodes: DataFrame, attr: str, aggregator: str = "to", directed: bool = True, invert: bool = False, default: float = 1.0) -> DataFrame:
+    """One ``w`` per (u, v) from an attribute of the nodes: that of v (to), of u (from), or their sum, mean, min or max.
+
+    Nodes without the attribute have ``default``. Undirected edges count both ways, each with its own to and from. Parallel edges
+    add up for sum, keep the largest for max and else the smallest.
+    """
+    value = nodes.select("id", F.col(attr).cast("double").alias("x"))
+    e = edges.select("u", "v")
+    if not directed:
+        e = e.union(e.where("u <> v").select("v", "u"))
+    e = e.join(value.toDF("u", "xu"), "u", "left").join(value.toDF("v", "xv"), "v", "left")
+    a, b = F.coalesce("xu", F.lit(default)), F.coalesce("xv", F.lit(default))
+    w = {"to": b, "from": a, "sum": a + b, "mean": (a + b) * 0.5, "min": F.least(a, b), "max": F.greatest(a, b)}[aggregator]
+    return e.select("u", "v", _weight(w, invert).alias("w")).groupBy("u", "v").agg({"sum": F.sum, "max": F.max}.get(aggregator, F.min)("w").alias("w"))
+
+
 def shortest_paths(edges: DataFrame, source, max_cost: float = 1e11, max_rounds: int = 1000) -> DataFrame:
     """Cost and predecessor of every node that the source reaches: ``id, cost, prev``.
 
@@ -57,7 +86,35 @@ def shortest_paths(edges: DataFrame, source, max_cost: float = 1e11, max_rounds:
 
 def bfs_levels(edges: DataFrame, source) -> DataFrame:
     """``id, level`` by hops."""
-    return shortest_paths(edges.select("u", "v", F.lit(1.0).alias("w")).distinct(), source).select("id", F.col("cost").cast("int").alias("level"))
+    return bfs(edges, source).select("id", "level")
+
+
+def bfs(edges: DataFrame, source) -> DataFrame:
+    """``id, level, prev``: hops from the source, and the smallest node of the level before that leads there."""
+    d = shortest_paths(edges.select("u", "v", F.lit(1.0).alias("w")).distinct(), source)
+    return d.select("id", F.col("cost").cast("int").alias("level"), "prev")
+
+
+def dfs_order(edges: DataFrame, source, max_edges: int = 1_000_000) -> DataFrame:
+    """``id, step, prev`` in depth-first order, smaller neighbours first.
+
+    The order is sequential by nature: the edges reach the driver, and more than ``max_edges`` raise an error.
+    """
+    e = edges.select("u", "v").distinct()
+    rows = e.limit(max_edges + 1).collect()
+    if len(rows) > max_edges:
+        raise ValueError(f"depth-first order is for graphs of up to {max_edges} edges")
+    out: dict = {}
+    for u, v in rows:
+        out.setdefault(u, []).append(v)
+    seen, stack = {}, [(source, None)]
+    while stack:
+        at, prev = stack.pop()
+        if at not in seen:
+            seen[at] = (len(seen), prev)
+            stack += [(v, at) for v in sorted(out.get(at, ()), reverse=True) if v not in seen]
+    kind = edges.schema["u"].dataType.simpleString()
+    return edges.sparkSession.createDataFrame([(k, step, prev) for k, (step, prev) in seen.items()], f"id {kind}, step int, prev {kind}")
 
 
 def simple_paths(edges: DataFrame, start, end, max_hops: int = 10) -> DataFrame:

@@ -2,13 +2,34 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 WIDTH = 64
 
 
+def overlap(s1: Column, e1: Column, s2: Column, e2: Column) -> Column:
+    """Shared bases of two intervals; 0 where they are apart."""
+    return F.greatest(F.least(e1, e2) - F.greatest(s1, s2), F.lit(0))
+
+
+def contains(s1: Column, e1: Column, s2: Column, e2: Column | None = None) -> Column:
+    """Whether the first interval holds the second one, or the point ``s2``."""
+    return (s1 <= s2) & ((s2 < e1) if e2 is None else (e2 <= e1))
+
+
+def hull(s1: Column, e1: Column, t1: Column, s2: Column, e2: Column, t2: Column) -> Column:
+    """The smallest interval around both: a struct of start, end and strand, 0 where strands differ."""
+    return F.struct(F.least(s1, s2).alias("start"), F.greatest(e1, e2).alias("end"), F.when(t1 == t2, t1).otherwise(0).alias("strand"))
+
+
+def intersection(s1: Column, e1: Column, t1: Column, s2: Column, e2: Column) -> Column:
+    """What both share, with the first one's strand; an empty interval at the larger start where they are apart."""
+    start = F.greatest(s1, s2)
+    return F.struct(start.alias("start"), F.greatest(start, F.least(e1, e2)).alias("end"), t1.alias("strand"))
+
+
 def overlap_join(a: DataFrame, b: DataFrame, stranded: bool = False, width: int = WIDTH) -> DataFrame:
     """One row per overlapping pair: ``contig, a_id, b_id, start, end, strand`` (of a).
 
@@ -89,10 +110,11 @@ def _sided(x: DataFrame, sides: list) -> DataFrame:
     return d.select("contig", "row_id", "p.side", F.greatest("p.s", F.lit(0)).alias("start"), F.col("p.e").alias("end"), "strand").where("start < end")
 
 
-def flank(x: DataFrame, left: int, right: int) -> DataFrame:
-    """Regions beside each interval, upstream and downstream by strand; clipped at 0, empty ones dropped."""
+def flank(x: DataFrame, left: int, right: int, sides: str = "both") -> DataFrame:
+    """Regions beside each interval, upstream and downstream by strand (or one of them); clipped at 0, empty ones dropped."""
     rev, s, e = F.col("strand") == -1, F.col("start"), F.col("end")
-    return _sided(x, [("upstream", F.when(rev, e).otherwise(s - left), F.when(rev, e + left).otherwise(s)), ("downstream", F.when(rev, s - right).otherwise(e), F.when(rev, s).otherwise(e + right))])
+    regions = [("upstream", F.when(rev, e).otherwise(s - left), F.when(rev, e + left).otherwise(s)), ("downstream", F.when(rev, s - right).otherwise(e), F.when(rev, s).otherwise(e + right))]
+    return _sided(x, [r for r in regions if sides in ("both", r[0])])
 
 
 def promoters(x: DataFrame, up: int, down: int) -> DataFrame:
@@ -119,25 +141,31 @@ def reverse_complement(x: DataFrame, length) -> DataFrame:
     return x.select("contig", "row_id", (length - F.col("end")).alias("start"), (length - F.col("start")).alias("end"), (-F.col("strand")).alias("strand"))
 
 
-def cover_linear(x: DataFrame, max_overlap: float = 0.1) -> DataFrame:
-    """Greedy chain in start order: drops an interval whose overlap with the last kept one exceeds the share of its own length.
+def cover_linear(x: DataFrame, max_overlap: float = 0.1, lengths: DataFrame | None = None, min_coverage: float = 0.0) -> DataFrame:
+    """Greedy chain in start order: skips an interval whose overlap with the last kept one exceeds the share of its own length.
 
-    The state is one interval, so a sorted stream of each contig needs no buffering.
+    The state is one interval, so a sorted stream of each contig needs no buffering. With ``lengths`` (``contig, length``) a
+    contig keeps its chain only if the chain's bases, overlaps counted once, are at least ``min_coverage`` of its length; else it has none.
     """
 
     def run(batches):
         contig = last = None
         for f in batches:
-            keep = []
+            keep, own = [], []
             for c, s, e in zip(f.contig, f.start, f.end):
                 if c != contig:
                     contig, last = c, None
                 over = 0 if last is None else max(0, last - s)
-                ok = over <= max_overlap * max(1, e - s)
+                ok = over <= max_overlap * (e - s)
                 keep.append(ok)
                 if ok:
-                    last = e if last is None else max(last, e)
-            yield f[keep]
+                    last = e
+                    own.append(e - s - over)
+            yield f[keep].assign(own=own)
 
     d = x.select("contig", "row_id", "start", "end", "strand")
-    return d.repartition("contig").sortWithinPartitions("contig", "start", "end", "row_id").mapInPandas(run, d.schema)
+    kept = d.repartition("contig").sortWithinPartitions("contig", "start", "end", "row_id").mapInPandas(run, d.schema.simpleString()[7:-1].replace(":", " ") + ", own long")
+    if lengths is not None:
+        enough = kept.groupBy("contig").agg(F.sum("own").alias("bases")).join(lengths, "contig").where((F.col("length") <= 0) | (F.col("bases") >= min_coverage * F.col("length")))
+        kept = kept.join(enough.select("contig"), "contig", "left_semi")
+    return kept.select(*d.columns)

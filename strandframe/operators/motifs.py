@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandframe.functions.sequences import DNA, count_of
@@ -61,6 +61,22 @@ class Motif:
         return float(p[max(0, at) :].sum()) if at < len(p) else 0.0
 
 
+#: Counts of the two boxes of sigma-70 promoters, rows T, C, A, G.
+SIGMA70_35 = [[820, 840, 90, 240, 180, 180], [50, 50, 60, 100, 540, 140], [69, 50, 60, 560, 140, 540], [61, 60, 790, 100, 140, 140]]
+SIGMA70_10 = [[770, 30, 450, 140, 120, 960], [80, 10, 140, 140, 230, 20], [50, 950, 260, 590, 510, 10], [100, 10, 150, 130, 140, 10]]
+
+
+def sigma70(background=None) -> list[Motif]:
+    """The -35 and -10 boxes of sigma-70 promoters."""
+    return [Motif.from_counts("Sigma70_-35", SIGMA70_35, background), Motif.from_counts("Sigma70_-10", SIGMA70_10, background)]
+
+
+def hits_to_features(hits: DataFrame, motifs: list[Motif]) -> DataFrame:
+    """Hits as features on the forward strand's coordinates: ``seq_id, start, end, strand, key, score``; the key is the motif's name."""
+    width = F.create_map(*[F.lit(x) for m in motifs for x in (m.name, m.width)])
+    return hits.select("seq_id", F.col("pos").alias("start"), (F.col("pos") + F.element_at(width, F.col("motif"))).alias("end"), "strand", F.col("motif").alias("key"), "score")
+
+
 def background(seqs: DataFrame) -> DataFrame:
     """``symbol, n`` over all sequences, every symbol present."""
     one = seqs.agg(*(F.coalesce(F.sum(count_of(F.col("seq"), s)), F.lit(0)).alias(s) for s in DNA))
@@ -70,18 +86,19 @@ def background(seqs: DataFrame) -> DataFrame:
 def scan(seqs: DataFrame, motifs: list[Motif], min_score: float) -> DataFrame:
     """Hits of every motif at every position on both strands: ``seq_id, motif, pos, strand, score``.
 
-    Expressions only: a window's score is the sum of position weights, read from literal arrays by the symbol's
-    place in TCAG; sequences are never split between rows.
+    Expressions only, in one pass over the table: the symbols of a sequence become an array of places in TCAG once, a window's
+    score is the sum of position weights read from literal arrays, and the hits of all motifs and strands leave the row
+    together; sequences are never split between rows.
     """
-    out = None
     code = F.transform(F.split(F.col("seq"), ""), lambda c: F.instr(F.lit(DNA), c) - 1)
+
+    def found(m: Motif, strand: int) -> Column:
+        x = m if strand > 0 else m.reverse_complement()
+        cols = [F.array(*map(F.lit, map(float, c))) for c in x.weights.T]
+        at = F.when(F.size("code") >= m.width, F.sequence(F.lit(0), F.size("code") - m.width)).otherwise(F.array().cast("array<int>"))
+        score = lambda i: sum((F.get(c, F.get(F.col("code"), i + k)) for k, c in enumerate(cols)), F.lit(0.0))
+        hits = F.transform(at, lambda i: F.struct(F.lit(m.name).alias("motif"), i.alias("pos"), F.lit(strand).alias("strand"), score(i).alias("score")))
+        return F.filter(hits, lambda h: h.score >= min_score)
+
     d = seqs.where(F.length("seq") > 0).select("seq_id", code.alias("code"))
-    for m in motifs:
-        for strand, x in ((1, m), (-1, m.reverse_complement())):
-            cols = [F.array(*map(F.lit, map(float, c))) for c in x.weights.T]
-            at = F.when(F.size("code") >= m.width, F.sequence(F.lit(0), F.size("code") - m.width)).otherwise(F.array().cast("array<int>"))
-            score = lambda i, cols=cols: sum((F.get(c, F.get(F.col("code"), i + k)) for k, c in enumerate(cols)), F.lit(0.0))
-            hits = F.filter(F.transform(at, lambda i: F.struct(i.alias("pos"), score(i).alias("score"))), lambda h: h.score >= min_score)
-            part = d.select("seq_id", F.lit(m.name).alias("motif"), F.explode(hits).alias("h"), F.lit(strand).alias("strand")).select("seq_id", "motif", "h.pos", "strand", "h.score")
-            out = part if out is None else out.unionByName(part)
-    return out
+    return d.select("seq_id", F.explode(F.concat(*(found(m, t) for m in motifs for t in (1, -1)))).alias("h")).select("seq_id", "h.motif", "h.pos", "h.strand", "h.score")

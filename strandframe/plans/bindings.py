@@ -71,7 +71,8 @@ on_seqs("sq16_complete_cds", lambda _s: {"cds": S.is_complete_cds(_s)}, f"length
 WITH u AS (SELECT doc_id AS seq_id, upper(regexp_replace(coalesce(text, ''), '[^A-Za-z]', '', 'g')) AS t FROM documents),
 c AS (SELECT seq_id, unnest([{'c': length(regexp_replace(t, '[^TCAG]', '', 'g')), 'v': length(regexp_replace(t, '[^TCAGNU]', '', 'g')), 'p': 0, 'n': 'DNA'},
  {'c': length(regexp_replace(t, '[^UCAG]', '', 'g')), 'v': length(regexp_replace(t, '[^UCAGNT]', '', 'g')), 'p': -1, 'n': 'RNA'},
- {'c': length(regexp_replace(t, '[^ACDEFGHIKLMNPQRSTVWY]', '', 'g')), 'v': length(regexp_replace(t, '[^ACDEFGHIKLMNPQRSTVWYXBZJUO]', '', 'g')), 'p': -2, 'n': 'AMINO'}]) AS x FROM u)
+ {'c': length(regexp_replace(t, '[^ACDEFGHIKLMNPQRSTVWY]', '', 'g')), 'v': length(regexp_replace(t, '[^ACDEFGHIKLMNPQRSTVWYXBZJUO]', '', 'g')), 'p': -2, 'n': 'AMINO'},
+ {'c': length(regexp_replace(t, '[^LCAGSPFEKH]', '', 'g')), 'v': length(regexp_replace(t, '[^LCAGSPFEKH]', '', 'g')), 'p': -3, 'n': 'MURPHY_10'}]) AS x FROM u)
 SELECT seq_id, max_by(x.n, (x.c, x.v, x.p)) AS alphabet FROM c GROUP BY seq_id""")
 def _detect(spark, d):
     return table(spark, d, "documents").select(F.col("doc_id").alias("seq_id"), S.detect(F.coalesce("text", F.lit(""))).alias("alphabet"))
@@ -240,11 +241,6 @@ def _relate(spark, d):
     return p.select("contig", "row_id", I.relate(*c).alias("relation"), F.greatest(F.lit(0), F.least("e1", "e2") - F.greatest("s1", "s2")).alias("overlap"), F.least("s1", "s2").alias("hull_start"), F.greatest("e1", "e2").alias("hull_end"))
 
 
-@query("iv22_cover_linear")
-def _cover(spark, d):
-    return I.cover_linear(iv(spark, d))
-
-
 @query("flagship_overlap_coverage", f"""
 WITH {IV}, j AS ({_OVER.format('a', 'b')}), r AS (SELECT contig, s AS "start", e AS "end", strand FROM j), m AS ({_merge_sql('r')})
 SELECT contig, count(*) AS blocks, sum("end" - "start")::BIGINT AS bases, sum(n)::BIGINT AS pairs FROM m GROUP BY contig""")
@@ -368,11 +364,6 @@ def _al15(spark, d):
     return _mi(A.merge_overlaps(al(spark, d), 5))
 
 
-@query("al16_cull_overlaps")
-def _al16(spark, d):
-    return A.cull_overlaps(al(spark, d))
-
-
 @query("al17_chain")
 def _al17(spark, d):
     return A.chain(al(spark, d))
@@ -449,11 +440,6 @@ def _gr08(spark, d):
     return G.clusters(e.select((F.col("c_nationkey") * 1000 + F.when(F.col("c_mktsegment") == "BUILDING", 1).otherwise(2)).alias("u"), (F.col("s_nationkey") * 1000 + 900).alias("v")).distinct())
 
 
-@query("gr09_set_cover")
-def _gr09(spark, d):
-    return G.set_cover(table(spark, d, "customer").select(F.col("c_nationkey").alias("set_id"), F.col("c_mktsegment").alias("element")))
-
-
 @query("gr10_otsu", """WITH h AS (SELECT least(floor(l_discount * 10 * 256), 255)::INT AS b, count(*)::DOUBLE AS n FROM lineitem GROUP BY 1), c AS (SELECT b, sum(n) OVER (ORDER BY b) AS w0, sum(n * b) OVER (ORDER BY b) AS s0, sum(n) OVER () AS n, sum(n * b) OVER () AS s FROM h),
 v AS (SELECT b, round(CASE WHEN n > w0 THEN w0 * (n - w0) * pow(s0 / w0 - (s - s0) / (n - w0), 2) ELSE -1 END, 3) AS v FROM c) SELECT ((SELECT b FROM v ORDER BY v DESC, b LIMIT 1) + 1) / 256.0::DOUBLE AS threshold""")
 def _gr10(spark, d):
@@ -523,11 +509,3 @@ def _al07(spark, d):
     i = F.col("doc_id")
     c = F.concat((1 + i % 7).cast("string"), F.lit("="), (1 + i % 3).cast("string"), F.lit("X"), (1 + i % 2).cast("string"), F.lit("I"), (2 + i % 5).cast("string"), F.lit("="), (1 + i % 4).cast("string"), F.lit("D3="))
     return A.cigar_ops(table(spark, d, "documents").select(i.alias("row_id"), c.alias("cigar"))).select("row_id", "idx", "op", "n", "q_off", "t_off")
-
-
-@query("vr02_pileup", f"""WITH p AS (SELECT l_suppkey AS contig, l_partkey AS pos, substr('TCAG', (l_linenumber % 4 + 1)::INT, 1) AS allele FROM lineitem), n AS (SELECT contig, pos, allele, count(*) AS n FROM p GROUP BY 1, 2, 3), d AS (SELECT *, sum(n) OVER (PARTITION BY contig, pos) AS depth FROM n)
-SELECT contig, pos, 'A' AS ref, allele, n, depth::BIGINT AS depth FROM d WHERE depth >= 2 AND n / depth >= 0.5 AND allele <> 'A'""")
-def _vr02(spark, d):
-    li = table(spark, d, "lineitem")
-    b = li.select(F.col("l_suppkey").alias("contig"), F.col("l_partkey").alias("pos"), F.substring(F.lit("TCAG"), F.col("l_linenumber") % 4 + 1, F.lit(1)).alias("allele"))
-    return A.pileup(b, b.select("contig", "pos").distinct().withColumn("ref", F.lit("A")))

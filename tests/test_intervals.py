@@ -54,3 +54,6 @@ def test_merge_is_idempotent_and_tiles_stay_inside(spark):
 def test_cover_linear_keeps_a_chain(spark):
     kept = I.cover_linear(frame(spark, [(0, 10, 1), (5, 15, 1), (10, 20, 1), (19, 40, 1)]), 0.1).orderBy("start").collect()
     assert [(r.start, r.end) for r in kept] == [(0, 10), (10, 20), (19, 40)]
+    lengths = spark.createDataFrame([("c", 100)], "contig string, length long")
+    x = frame(spark, [(0, 10, 1), (9, 20, 1)])
+    assert I.cover_linear(x, lengths=lengths, min_coverage=0.2).count() == 2 and I.cover_linear(x, lengths=lengths, min_coverage=0.21).count() == 0
