@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 import re
 from collections import Counter
 from dataclasses import dataclass
@@ -138,11 +137,11 @@ class ToxicityModel:
     knots: tuple[np.ndarray, np.ndarray]
     none: float
 
-    def vector(self, counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
-        ids = np.fromiter(counts, np.int64, len(counts))
-        w = (1 + np.log(np.fromiter(counts.values(), float, len(counts)))) * self.idf[ids]
+    def vector(self, ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         order = np.argsort(ids)
-        return ids[order], w[order] / (np.linalg.norm(w[order]) or 1)
+        ids = ids[order]
+        w = (1 + np.log(counts[order].astype(float))) * self.idf[ids]
+        return ids, w / (np.linalg.norm(w) or 1)
 
     def votes(self, n: np.ndarray, s: np.ndarray) -> float:
         """Share of toxic votes; a vote weighs the example's weight over its distance."""
@@ -154,7 +153,8 @@ class ToxicityModel:
         none = (self.none, np.zeros(0, np.int64), np.zeros(0))
         own = [k for k, c in enumerate(counts) if c]
         out = [none] * len(counts)
-        for k, (n, s) in zip(own, self.index.search([self.vector(counts[k]) for k in own]), strict=True):
+        queries = [self.vector(np.fromiter(counts[k], np.int64, len(counts[k])), np.fromiter(counts[k].values(), np.int64, len(counts[k]))) for k in own]
+        for k, (n, s) in zip(own, self.index.search(queries), strict=True):
             if len(n):
                 out[k] = (float(np.interp(self.votes(n, s), *self.knots)), n, s)
         return out
@@ -211,19 +211,18 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, id_col: str = "doc_id
                 c.update((y, w) for w in {*tokens(t), ""})
             yield pa.RecordBatch.from_arrays([pa.array([w for _, w in c]), pa.array([n if y else 0 for (y, _), n in c.items()], pa.int64()), pa.array([0 if y else n for (y, _), n in c.items()], pa.int64())], names=["w", "pos", "neg"])
 
-    seen = sample.mapInArrow(presence, "w string, pos long, neg long").groupBy("w").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).collect()
-    seen = {r.w: (r.pos, r.neg) for r in sorted(seen)}
-    n1, n0 = seen.pop("", (0, 0))
+    seen = sample.mapInArrow(presence, "w string, pos long, neg long").groupBy("w").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).toArrow().sort_by("w")
+    words, pos, neg = seen.column(0).to_pylist(), *(seen.column(c).to_numpy().astype(float) for c in (1, 2))
+    n1, n0 = (pos[0], neg[0]) if words else (0.0, 0.0)  # the empty word stands first and counts the examples
     total = population.get(1, 0) + population.get(0, 0)
     base = (population.get(1, 0) + 0.5) / (total + 2)
-    vocab = {w: k for k, w in enumerate(seen)} if n1 and n0 else {}
+    vocab = {w: k for k, w in enumerate(words[1:])} if n1 and n0 else {}
     if not vocab:
         return ToxicityModel({}, np.zeros(0), np.zeros(0, np.int64), np.zeros(0), np.zeros(0), BlockMaxIndex.build(np.zeros((1, 1))), (np.array([0.0]), np.array([base])), base)
 
     sent = docs.sparkSession.sparkContext.broadcast(vocab)
-    n = float(n1 + n0)
-    pos, neg = np.array(list(seen.values()), float).T
-    chi = n * (pos * (n0 - neg) - neg * (n1 - pos)) ** 2 / np.maximum(float(n1) * n0 * (pos + neg) * (n - pos - neg), 1.0)
+    n, pos, neg = n1 + n0, pos[1:], neg[1:]
+    chi = n * (pos * (n0 - neg) - neg * (n1 - pos)) ** 2 / np.maximum(n1 * n0 * (pos + neg) * (n - pos - neg), 1.0)
 
     def frequency(batches):
         c: Counter = Counter()
@@ -234,22 +233,32 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, id_col: str = "doc_id
                 c.update(have & set(tokens(t)))
         yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()), pa.array(list(c.values()), pa.int64())], names=["w", "n"])
 
-    df = {r.w: r.n for r in text.select("text").mapInArrow(frequency, "w string, n long").groupBy("w").agg(F.sum("n").alias("n")).collect()}
-    idf = np.array([math.log((1 + df.get("", 0)) / (1 + df.get(w, 0))) + 1 for w in vocab]) * (1 + np.sqrt(chi))
-    rows = _term_counts(sample, sent).orderBy(F.xxhash64("doc_id"), "doc_id").collect()
-    number = np.repeat(np.arange(len(rows)), [len(r.t) for r in rows])
-    term = np.array([t for r in rows for t in r.t], np.int64)
-    weight = (1 + np.log(np.array([c for r in rows for c in r.n], float))) * idf[term]
-    weight /= np.sqrt(np.bincount(number, weight * weight, len(rows)))[number]
-    y = np.array([float(r.y) for r in rows])
-    share = np.array([population[r.y] / (n1 if r.y else n0) for r in rows])
-    m = ToxicityModel(vocab, idf, np.array([r.doc_id for r in rows]), y, share, BlockMaxIndex.of(number, term, weight, len(rows), len(vocab)), (np.array([0.0]), np.array([base])), base)
-    raw = np.full(len(rows), -1.0)
-    some = [k for k, r in enumerate(rows) if r.t]
-    near = m.index.search([m.vector(dict(zip(rows[k].t, rows[k].n, strict=True))) for k in some], skip=some)
-    for k, (n_, s) in zip(some, near, strict=True):
-        if len(n_):
-            raw[k] = m.votes(n_, s)
+    found = text.select("text").mapInArrow(frequency, "w string, n long").groupBy("w").agg(F.sum("n").alias("n")).toArrow()
+    df, every = np.zeros(len(vocab)), 0
+    for w, c in zip(found.column(0).to_pylist(), found.column(1).to_pylist(), strict=True):
+        if w:
+            df[vocab[w]] = c
+        else:
+            every = c
+    idf = (np.log((1 + every) / (1 + df)) + 1) * (1 + np.sqrt(chi))
+    rows = _term_counts(sample, sent).orderBy(F.xxhash64("doc_id"), "doc_id").toArrow()
+    ends = np.concatenate([[0], np.cumsum(rows.column("t").combine_chunks().value_lengths().to_numpy())])
+    term, count = (rows.column(c).combine_chunks().flatten().to_numpy().astype(np.int64) for c in ("t", "n"))
+    number = np.repeat(np.arange(rows.num_rows), np.diff(ends))
+    weight = (1 + np.log(count.astype(float))) * idf[term]
+    weight /= np.sqrt(np.bincount(number, weight * weight, rows.num_rows))[number]
+    y = rows.column("y").to_numpy().astype(float)
+    share = np.where(y > 0, population.get(1, 0) / n1, population.get(0, 0) / n0)
+    m = ToxicityModel(vocab, idf, rows.column("doc_id").to_numpy(), y, share, BlockMaxIndex.of(number, term, weight, rows.num_rows, len(vocab)), (np.array([0.0]), np.array([base])), base)
+    raw = np.full(rows.num_rows, -1.0)
+    some = np.flatnonzero(np.diff(ends)).tolist()
+    for lo in range(0, len(some), BATCH):
+        own = some[lo : lo + BATCH]
+        near = m.index.search([m.vector(term[ends[k] : ends[k + 1]], count[ends[k] : ends[k + 1]]) for k in own], skip=own)
+        for k, (n_, s) in zip(own, near, strict=True):
+            if len(n_):
+                raw[k] = m.votes(n_, s)
+    sent.destroy()
     bare = raw < 0
     m.none = float(((share * y)[bare].sum() + base) / (share[bare].sum() + 1))
     if (~bare).any():
