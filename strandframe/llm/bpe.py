@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Words that are encoded once and looked up; bounds the literal table of common words.
-COMMON = 1 << 18
+COMMON = 1 << 19
 NONE = (1 << 40) - 1
 #: Bytes of words whose cuts fit in a long.
 SHORT = 62
@@ -135,17 +135,21 @@ class Bpe:
     def encode_word(self, word: str) -> str:
         """SQL of the ids of the word that an expression names.
 
-        All tokens that stand in the word are listed as ``rank << 12 | start << 6 | length - 1`` and
+        All tokens of two bytes and more that stand in the word are listed as ``rank << 12 | start << 6 | length - 1`` and
         folded by rank, leftmost first, over a long whose bits are the places where the word
-        is still cut: a token whose ends are cut, with one cut inside, is a pair that merges. Words over ``SHORT``
-        bytes, and all words of a rank file that is not :func:`_ordered`, merge one pair a step instead.
+        is still cut: a token whose ends are cut, with one cut inside, is a pair that merges. Tokens and single bytes that
+        remain are put in order of their starts. Words over ``SHORT`` bytes, and all words of a rank file that is not
+        :func:`_ordered`, merge one pair a step instead.
         """
         entry = f"_t[(h ^ _d[shiftrightunsigned(h, {65 - self.SLOTS})]) & {(1 << self.SLOTS) - 1}]"
-        lengths = f"sequence(1, cast(least(n + 1 - i, _l[xxhash64(substring(w, i, {self.PREFIX})) & 65535]) as int))"
-        found = f"transform(transform({lengths}, k -> xxhash64(substring(w, i, k))), (h, k) -> if(shiftrightunsigned({entry} ^ h, 16) = 0, shiftleft({entry} & 65535, 12) + (shiftleft(i, 6) + k), -1L))"
-        tokens = f"filter(flatten(transform(sequence(1, n), i -> {found})), x -> x >= 0)"
+        lengths = f"sequence(2, cast(least(n + 1 - i, _l[xxhash64(substring(w, i, {self.PREFIX})) & 65535]) as int))"
+        found = f"transform(transform({lengths}, k -> xxhash64(substring(w, i, k))), (h, k) -> if(shiftrightunsigned({entry} ^ h, 16) = 0, shiftleft({entry} & 65535, 12) + (shiftleft(i, 6) + k + 1), -1L))"
+        tokens = f"filter(flatten(transform(sequence(1, n - 1), i -> {found})), x -> x >= 0)"
         cuts = "aggregate(sort_array(c), -1L, (m, x) -> if(bit_count(m & _n[x & 4095]) = 1 and (m & _o[x & 4095]) = _o[x & 4095], m ^ (m & _n[x & 4095]), m))"
-        short = let("c", tokens, let("m", cuts, "transform(filter(c, x -> (m & _f[x & 4095]) = _o[x & 4095]), x -> cast(shiftrightunsigned(x, 12) as int))"))
+        whole = "transform(filter(c, x -> (m & _f[x & 4095]) = _o[x & 4095]), x -> shiftleft(x & 4032, 10) + shiftrightunsigned(x, 12))"
+        bytes_ = f"transform(filter(sequence(1, n), i -> (m & _f[shiftleft(i, 6)]) = _o[shiftleft(i, 6)]), i -> {let('h', 'xxhash64(substring(w, i, 1))', f'shiftleft(cast(i as bigint), 16) + ({entry} & 65535)')})"
+        short = let("c", tokens, let("m", cuts, f"transform(sort_array(concat({whole}, {bytes_})), x -> cast(x & 65535 as int))"))
+        single = let("h", "xxhash64(w)", f"array(cast({entry} & 65535 as int))")
 
         def rank(start: str, end: str) -> str:
             return let("h", f"xxhash64(substring(w, {start} + 1, {end} - {start}))", f"if({end} - {start} <= {self.longest} and shiftrightunsigned({entry} ^ h, 16) = 0, {entry} & 65535, {NONE}L)")
@@ -158,7 +162,7 @@ class Bpe:
         start = f"named_struct('a', sequence(0, n), 'r', cast({ranks} as array<bigint>))"
         long = let("s", f"aggregate(sequence(1, n), {start}, (s, y) -> {step})", f"transform(sequence(0, size(s.a) - 2), i -> cast({rank('s.a[i]', 's.a[i + 1]')} as int))")
         own = f"if(n <= {SHORT}, {short}, {long})" if self.ordered else long
-        return let("w", f"cast({word} as binary)", let("n", "octet_length(w)", f"if(n = 0, cast(array() as array<int>), {own})"))
+        return let("w", f"cast({word} as binary)", let("n", "octet_length(w)", f"if(n = 0, cast(array() as array<int>), if(n = 1, {single}, {own}))"))
 
     def decode(self, df: DataFrame, ids: str = "ids", out: str = "decoded") -> DataFrame:
         """Adds the bytes of a column of ids: concatenates their binary pieces; null gives null, no ids no bytes."""
@@ -198,7 +202,7 @@ class Lookup:
     """Literals of words and their ids: ``_w`` and ``_i`` by slot, ``_m`` the displacements of slots."""
 
     def __init__(self, entries: list):
-        self.bits = max(4, (2 * len(entries)).bit_length())
+        self.bits = max(4, (2 * len(entries) - 1).bit_length())
         moved, slots = _displaced([xxhash.xxh64_intdigest(w.encode(), 42) for w, _ in entries], self.bits)
         self.tables = {"_m": (moved, pa.int64()), "_w": ([None if k is None else entries[k][0] for k in slots], pa.string()), "_i": ([None if k is None else entries[k][1] for k in slots], pa.list_(pa.int32()))}
 
