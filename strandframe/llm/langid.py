@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import math
 import re
+import uuid
 from collections import Counter
 from dataclasses import dataclass
 
@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 #: Bound of the fitting sample: documents of each language.
 SAMPLE = 400
 ROUNDS = 3
-MAX_PIECE = 12
 SMOOTH = 200.0
+#: Cells of one lattice, starts by ends by words, in training; bounds memory for long words.
+LATTICE = 4_000_000
 START = "▁"
 #: Distinct words whose scores a Python worker remembers before it starts anew.
 REMEMBER = 400_000
@@ -25,13 +26,13 @@ _WORD = re.compile(r"[^\W\d_]+")
 SCHEMA = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64())])
 
 
-def vocabulary(model_file: str, max_piece: int = MAX_PIECE) -> list[str]:
-    """Pieces of a public sentencepiece file, lower case and letters only, that segmentations use."""
+def vocabulary(model_file: str) -> list[str]:
+    """All pieces of a public sentencepiece file that can stand in a word: lower case and letters only."""
     import sentencepiece
 
     sp = sentencepiece.SentencePieceProcessor(model_file=model_file)
     pieces = {sp.id_to_piece(i) for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i))}
-    return sorted(p for p in pieces if len(p) <= max_piece and p == p.lower() and (p.lstrip(START).isalpha() or p == START))
+    return sorted(p for p in pieces if p == p.lower() and (p.lstrip(START).isalpha() or p == START))
 
 
 def words(text: str | None) -> Counter:
@@ -79,27 +80,41 @@ class Lattice:
         return log
 
     def expected(self, counts: dict[str, float], p: np.ndarray) -> np.ndarray:
-        """Expected uses of each piece in the words under probabilities p, by forward and backward sums."""
+        """Expected uses of each piece in the words under probabilities p, by forward and backward sums.
+
+        Forward sums are scaled to 1 at every end and backward sums by the same factors, so words of any length count.
+        """
         total = np.zeros(len(p))
         by_length: dict[int, list[str]] = {}
         for w in counts:
             by_length.setdefault(len(w), []).append(w)
-        for n, batch in by_length.items():
-            if n > 64:
-                continue  # no word of a language; such runs are scored all the same
-            edges = self.edges(batch, n)
-            f, b = np.zeros((n + 1, len(batch))), np.zeros((n + 1, len(batch)))
-            f[0], b[n] = 1, 1
-            for j, own in enumerate(edges, 1):
-                for i, ids in own:
-                    f[j] += f[i] * p[ids]
-            for j in range(n, 0, -1):
-                for i, ids in edges[j - 1]:
-                    b[i] += b[j] * p[ids]
-            weight = np.array([counts[w] for w in batch]) / np.maximum(f[n], 1e-300)
-            for j, own in enumerate(edges, 1):
-                for i, ids in own:
-                    np.add.at(total, ids, weight * f[i] * p[ids] * b[j])
+        for n, words_ in by_length.items():
+            step = max(1, LATTICE // (n * self.longest))
+            for lo in range(0, len(words_), step):
+                batch = words_[lo : lo + step]
+                edges = self.edges(batch, n)
+                # f[i] and b[i] hold the sums over the product of the scales from each start to j and from j on
+                scale, f, b = np.ones((n + 1, len(batch))), np.zeros((n + 1, len(batch))), np.zeros((n + 1, len(batch)))
+                f[0] = b[n] = 1
+                since = np.ones((self.longest + 1, len(batch)))  # product of the scales of the last ends, the newest first
+                for j, own in enumerate(edges, 1):
+                    for i, ids in own:
+                        f[j] += f[i] * p[ids] / since[j - i - 1]
+                    scale[j] = f[j]
+                    f[j] = 1
+                    since[1:] = since[:-1] * scale[j]
+                    since[0] = 1
+                weight = np.array([counts[w] for w in batch])
+                for j in range(n, 0, -1):
+                    reach = np.ones(len(batch))
+                    at = j
+                    for i, ids in sorted(edges[j - 1], key=lambda e: -e[0]):
+                        while at > i:
+                            reach = reach * scale[at]
+                            at -= 1
+                        use = p[ids] * b[j] / reach
+                        b[i] += use
+                        np.add.at(total, ids, weight * f[i] * use)
         total[-1] = 0
         return total
 
@@ -108,6 +123,7 @@ class Lattice:
 class LanguageModel:
     languages: list[str]
     pieces: list[str]
+    key: str  # names the model in a worker
     p: np.ndarray  # one row per piece after row 0 for unknown characters, one column per language; the last row is zero
 
 
@@ -124,7 +140,7 @@ def fit(docs: DataFrame, train: Column, model_file: str, id_col: str = "doc_id",
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where(train & F.col("lang").isNotNull() & F.col("text").isNotNull())
     languages = sorted(r.lang for r in d.select("lang").distinct().collect())
     if not languages:
-        return LanguageModel([], pieces, np.zeros((len(pieces) + 2, 0)))
+        return LanguageModel([], pieces, uuid.uuid4().hex, np.zeros((len(pieces) + 2, 0)))
     ids = None
     for x in languages:
         part = d.where(F.col("lang") == x).select("doc_id", "lang").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
@@ -167,7 +183,7 @@ def fit(docs: DataFrame, train: Column, model_file: str, id_col: str = "doc_id",
         mean[-1] = 0
         p = (e + SMOOTH * (mean / mean.sum())[:, None]) / (e.sum(0) + SMOOTH)
     counts.unpersist()
-    return LanguageModel(languages, pieces, p)
+    return LanguageModel(languages, pieces, uuid.uuid4().hex, p)
 
 
 class _Scorer:
@@ -212,7 +228,7 @@ class _Scorer:
         return out
 
 
-_SCORERS: dict[int, _Scorer] = {}
+_SCORERS: dict[str, _Scorer] = {}
 
 
 def predict(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -224,10 +240,9 @@ def predict(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_
     learned; ties go to the first language by name. Repeated rows score alike; other columns
     are ignored. The model is sent out once; its size is set by vocabulary and languages.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent, key = docs.sparkSession.sparkContext.broadcast(model), model.key
 
     def run(batches):
-        key = sent.id if hasattr(sent, "id") else id(sent)
         scorer = _SCORERS.get(key)
         if scorer is None:
             _SCORERS.clear()
