@@ -8,18 +8,20 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-#: Temporary folders of applications without the setting; it cannot always be set in a running session.
+#: Temporary folders of local applications without the setting; it cannot always be set in a running session.
 _OWN: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where that setting is absent (tests, notebooks) a temporary folder of this
-    machine is made, one for each application.
+    A local session without that setting (tests, notebooks) gets a temporary folder of this machine, one for each
+    application; on a cluster, where executors could not read it, the setting is required.
     """
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         app = spark.sparkContext.applicationId
         if app not in _OWN:
             _OWN[app] = "file://" + tempfile.mkdtemp(prefix="strandframe-")
