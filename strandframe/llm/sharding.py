@@ -15,14 +15,17 @@ from strandframe.plans.session import shared_dir
 
 SLOTS = 4096
 PARTS = 32
+#: A text is hot from this part of a shard's share of the bytes on.
+HOT = 64
 
 
 @dataclass(frozen=True)
 class SlotMap:
     """A version of the map from cells to shards.
 
-    A cell is ``slot * parts + part``. Part 0 of a slot holds all its texts but hot ones and moves as a whole;
-    the others hold copies of texts that alone exceed a shard's share and move one by one.
+    A cell is ``slot * parts + part``. The slots by hash hold texts by hash, all in part 0; each slot after them holds
+    the copies of one hot text, dealt over its parts. A slot moves as a whole unless it alone holds more
+    than a shard's share; only then, and only copies of one text, do its parts move one by one.
     """
 
     version: int
@@ -48,9 +51,16 @@ class SlotMap:
             out[s] += b
         return out
 
-    def _units(self) -> list[int]:
-        """Cells with rows, heaviest first."""
-        return sorted((c for c, n in enumerate(self.rows) if n), key=lambda c: (-self.bytes[c], c))
+    def _units(self) -> list[list[int]]:
+        """Cells that move together, those of most bytes first; cells without rows are left out."""
+        share, units = sum(self.bytes) / max(1, self.n_shards), []
+        for s in range(self.slots):
+            own = [c for c in range(s * self.parts, (s + 1) * self.parts) if self.rows[c]]
+            units += [own] if self._load(own) <= share else [[c] for c in own]
+        return sorted(filter(None, units), key=lambda u: (-self._load(u), u))
+
+    def _load(self, cells: list[int]) -> int:
+        return sum(self.bytes[c] for c in cells)
 
 
 def _size(text: Column) -> Column:
@@ -58,26 +68,29 @@ def _size(text: Column) -> Column:
 
 
 def hot_texts(df: DataFrame, n_shards: int, text_col: str = "text") -> list[int]:
-    """Hashes of texts whose copies alone hold more bytes than a shard's share; fewer than ``n_shards``."""
-    by_text = df.groupBy(F.xxhash64(text_col).alias("h")).agg(F.sum(_size(F.col(text_col))).alias("b"))
-    top = by_text.orderBy(F.desc("b"), "h").limit(n_shards).collect()
+    """Hashes of texts whose copies hold more than one ``HOT``-th of a shard's share of the bytes: fewer than ``HOT`` times the shards."""
+    by_text = df.groupBy(F.xxhash64(text_col).alias("h")).agg(F.sum(_size(F.col(text_col))).alias("b"), F.count("*").alias("n"))
+    top = by_text.where("n > 1").orderBy(F.desc("b"), "h").limit(n_shards * HOT).collect()
     total = df.agg(F.sum(_size(F.col(text_col)))).first()[0] or 0
-    return [r.h for r in top if r.b * n_shards > total]
+    return [r.h for r in top if r.b * n_shards * HOT > total]
 
 
 def cells(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", slots: int = SLOTS, parts: int = PARTS, hot: list[int] | None = None) -> DataFrame:
     """Per row: ``id, size, text_crc32, vslot, part``.
 
-    The slot comes from the text, so equal texts share a slot, and part 0 of it; only copies of a text whose
-    hash is in ``hot`` are spread over the other parts, by id. A null text counts as no
+    The slot comes from the text, so equal texts share a slot; a text whose
+    hash is in ``hot`` has a slot of its own, in which its copies are spread over the parts by id. A null text counts as no
     bytes and hashes alike everywhere; rows alike in id and text share a cell.
     """
     text, row_id = F.col(text_col), F.col(id_col)
     h = F.xxhash64(text)
-    spread = F.when(h.isin(hot), F.pmod(F.xxhash64(row_id), F.lit(parts - 1)) + 1).otherwise(0) if hot else F.lit(0)
+    slot, part = F.pmod(h, F.lit(slots)), F.lit(0)
+    if hot:
+        slot = F.when(h.isin(hot), F.array_position(F.array(*map(F.lit, hot)), h) + (slots - 1)).otherwise(slot)
+        part = F.when(h.isin(hot), F.pmod(F.xxhash64(row_id), F.lit(parts))).otherwise(part)
     return df.select(
         row_id.alias("doc_id"), _size(text).alias("size"), F.crc32(F.coalesce(text, F.lit(""))).alias("text_crc32"),
-        F.pmod(h, F.lit(slots)).cast("int").alias("vslot"), spread.cast("int").alias("part"),
+        slot.cast("int").alias("vslot"), part.cast("int").alias("part"),
     )
 
 
@@ -92,32 +105,37 @@ def plan(placed: DataFrame, n_shards: int, slots: int = SLOTS, parts: int = PART
         rows[r.vslot * parts + r.part], size[r.vslot * parts + r.part] = r.n, r.b
     shard = [0] * (slots * parts)
     heap = [(0, s) for s in range(n_shards)]
-    for c in SlotMap(1, n_shards, slots, parts, shard, rows, size)._units():
-        load, shard[c] = heapq.heappop(heap)
-        heapq.heappush(heap, (load + size[c], shard[c]))
+    empty = SlotMap(1, n_shards, slots, parts, shard, rows, size)
+    for unit in empty._units():
+        load, s = heapq.heappop(heap)
+        for c in unit:
+            shard[c] = s
+        heapq.heappush(heap, (load + empty._load(unit), s))
     return SlotMap(1, n_shards, slots, parts, shard, rows, size)
 
 
 def rebalance(old: SlotMap, n_shards: int) -> SlotMap:
-    """The next version for ``n_shards``: an edit that moves as few cells as it can.
+    """The next version for ``n_shards``: an edit that moves as few slots as it can.
 
-    Cells leave shards that hold more than the new share and go to the added shards, or
+    Slots leave shards that hold more than the new share and go to the added shards, or
     leave removed shards for the lightest ones; every other entry stays.
     """
     if n_shards < 1:
         raise ValueError("n_shards must be positive")
     share = sum(old.bytes) / n_shards
     shard, load, loose = [s if s < n_shards else 0 for s in old.shard], [0.0] * n_shards, []
-    for c in old._units():
-        s, b = old.shard[c], old.bytes[c]
-        if s < n_shards and load[s] + b <= share:
+    for unit in SlotMap(old.version, n_shards, old.slots, old.parts, old.shard, old.rows, old.bytes)._units():
+        s, b = old.shard[unit[0]], old._load(unit)
+        if s < n_shards and load[s] + b <= share and len({old.shard[c] for c in unit}) == 1:
             load[s] += b
         else:
-            loose.append(c)
+            loose.append(unit)
     added = range(old.n_shards, n_shards) or range(n_shards)
-    for c in loose:
-        shard[c] = min(added, key=lambda k: (load[k], k))
-        load[shard[c]] += old.bytes[c]
+    for unit in loose:
+        s = min(added, key=lambda k: (load[k], k))
+        load[s] += old._load(unit)
+        for c in unit:
+            shard[c] = s
     return SlotMap(old.version + 1, n_shards, old.slots, old.parts, shard, old.rows, old.bytes)
 
 
@@ -168,9 +186,10 @@ def shard(df: DataFrame, n_shards: int = 8, id_col: str = "doc_id", text_col: st
     Rows come back as ``doc_id, size, text_crc32, vslot, part, shard, slot``; repeated rows
     each get a place, nulls and empty texts have size 1, an empty table gives no rows, other
     columns of ``df`` are ignored. Equal texts stay in one shard unless they alone exceed
-    a shard's share of the bytes.
+    a shard's share of the bytes. Rows are numbered within cells, of which a hot text has ``parts``.
     """
-    placed = cells(df, id_col, text_col, slots, parts, hot_texts(df, n_shards, text_col))
-    m = plan(placed, n_shards, slots, parts)
+    hot = hot_texts(df, n_shards, text_col)
+    placed = cells(df, id_col, text_col, slots, parts, hot)
+    m = plan(placed, n_shards, slots + len(hot), parts)
     store(df.sparkSession, m, store_path)
     return assign(placed, m), m
