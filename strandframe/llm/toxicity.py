@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -78,8 +79,8 @@ class BlockMaxIndex:
         dense[row[term[own]], number[own]] = weight[own]
         number, term, weight = number[~own], term[~own], weight[~own]
         order = np.lexsort((number, term))
-        number, term, weight = number[order], term[order], weight[order]
-        first = np.flatnonzero(np.diff(term * (n // BLOCK + 1) + number // BLOCK, prepend=-1))
+        number, term, weight = number[order].astype(np.int32), term[order], weight[order]
+        first = np.flatnonzero((np.diff(term, prepend=-1) != 0) | (np.diff(number // BLOCK, prepend=-1) != 0))
         top = np.maximum.reduceat(weight, first) if len(first) else np.zeros(0)
         return cls(n, np.searchsorted(term[first], np.arange(terms + 1)), number[first] // BLOCK, top, np.append(first, len(number)), number, weight, row, dense)
 
@@ -128,15 +129,37 @@ class BlockMaxIndex:
 
 @dataclass
 class ToxicityModel:
+    """The labelled examples with their term counts; every worker builds the index from them once."""
+
     terms: dict[str, int]
     idf: np.ndarray  # times the term's weight against the label
     ids: np.ndarray
     labels: np.ndarray
     importance: np.ndarray
-    index: BlockMaxIndex
+    term: np.ndarray  # terms of the examples, one example after the other, and their counts
+    count: np.ndarray
+    ends: np.ndarray  # first place of each example, and the end
     knots: tuple[np.ndarray, np.ndarray]
     none: float
 
+    @cached_property
+    def index(self) -> BlockMaxIndex:
+        weight = (1 + np.log(self.count.astype(float))) * self.idf[self.term]
+        number = np.repeat(np.arange(len(self.ids), dtype=np.int32), np.diff(self.ends))
+        weight /= np.sqrt(np.bincount(number, weight * weight, len(self.ids)))[number]
+        return BlockMaxIndex.of(number, self.term, weight, len(self.ids), len(self.idf))
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "index"}
+
+    def own_votes(self, numbers: list[int]) -> list[float | None]:
+        """Votes for examples from the others; null for those without a neighbour."""
+        some = [k for k in numbers if self.ends[k] < self.ends[k + 1]]
+        spans = [slice(self.ends[k], self.ends[k + 1]) for k in some]
+        near = self.index.search([self.vector(self.term[x], self.count[x]) for x in spans], skip=some)
+        found = {k: self.votes(n, s) for k, (n, s) in zip(some, near, strict=True) if len(n)}
+        return [found.get(k) for k in numbers]
+
     def vector(self, ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         order = np.argsort(ids)
         ids = ids[order]
@@ -218,7 +241,8 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, id_col: str = "doc_id
     base = (population.get(1, 0) + 0.5) / (total + 2)
     vocab = {w: k for k, w in enumerate(words[1:])} if n1 and n0 else {}
     if not vocab:
-        return ToxicityModel({}, np.zeros(0), np.zeros(0, np.int64), np.zeros(0), np.zeros(0), BlockMaxIndex.build(np.zeros((1, 1))), (np.array([0.0]), np.array([base])), base)
+        none = np.zeros(0, np.int64)
+        return ToxicityModel({}, np.zeros(0), none, np.zeros(0), np.zeros(0), none, none, np.zeros(1, np.int64), (np.array([0.0]), np.array([base])), base)
 
     sent = docs.sparkSession.sparkContext.broadcast(vocab)
     n, pos, neg = n1 + n0, pos[1:], neg[1:]
@@ -242,23 +266,21 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, id_col: str = "doc_id
             every = c
     idf = (np.log((1 + every) / (1 + df)) + 1) * (1 + np.sqrt(chi))
     rows = _term_counts(sample, sent).orderBy(F.xxhash64("doc_id"), "doc_id").toArrow()
+    sent.destroy()
     ends = np.concatenate([[0], np.cumsum(rows.column("t").combine_chunks().value_lengths().to_numpy())])
-    term, count = (rows.column(c).combine_chunks().flatten().to_numpy().astype(np.int64) for c in ("t", "n"))
-    number = np.repeat(np.arange(rows.num_rows), np.diff(ends))
-    weight = (1 + np.log(count.astype(float))) * idf[term]
-    weight /= np.sqrt(np.bincount(number, weight * weight, rows.num_rows))[number]
+    term, count = (rows.column(c).combine_chunks().flatten().to_numpy() for c in ("t", "n"))
     y = rows.column("y").to_numpy().astype(float)
     share = np.where(y > 0, population.get(1, 0) / n1, population.get(0, 0) / n0)
-    m = ToxicityModel(vocab, idf, rows.column("doc_id").to_numpy(), y, share, BlockMaxIndex.of(number, term, weight, rows.num_rows, len(vocab)), (np.array([0.0]), np.array([base])), base)
-    raw = np.full(rows.num_rows, -1.0)
-    some = np.flatnonzero(np.diff(ends)).tolist()
-    for lo in range(0, len(some), BATCH):
-        own = some[lo : lo + BATCH]
-        near = m.index.search([m.vector(term[ends[k] : ends[k + 1]], count[ends[k] : ends[k + 1]]) for k in own], skip=own)
-        for k, (n_, s) in zip(own, near, strict=True):
-            if len(n_):
-                raw[k] = m.votes(n_, s)
+    m = ToxicityModel(vocab, idf, rows.column("doc_id").to_numpy(), y, share, term, count, ends, (np.array([0.0]), np.array([base])), base)
+    sent = docs.sparkSession.sparkContext.broadcast(m)
+
+    def votes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sent.value.own_votes(b.column(0).to_pylist()), pa.float64())], names=["k", "raw"])
+
+    own = docs.sparkSession.range(0, rows.num_rows, 1, -(-rows.num_rows // BATCH)).toDF("k").mapInArrow(votes, "k long, raw double").toArrow().sort_by("k")
     sent.destroy()
+    raw = own.column("raw").fill_null(-1.0).to_numpy()
     bare = raw < 0
     m.none = float(((share * y)[bare].sum() + base) / (share[bare].sum() + 1))
     if (~bare).any():
@@ -284,14 +306,16 @@ def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_co
         m, known = sent.value, {}
         get = m.terms.get
         for b in batches:
-            texts = b.column(1).to_pylist()
-            keys = [xxhash.xxh3_128_digest((t or "").encode("utf-8", "surrogatepass")) for t in texts]
-            if len(known) > REMEMBER:
-                known.clear()
-            fresh = {k: _counts(t, get) for k, t in dict(zip(keys, texts, strict=True)).items() if k not in known}
-            for k, (p, n, s) in zip(fresh, m.score(list(fresh.values())), strict=True):
-                known[k] = (p, int(p >= 0.5), m.ids[n].tolist(), s.tolist())
-            out = [known[k] for k in keys]
+            out = []
+            for lo in range(0, b.num_rows, BATCH):
+                texts = b.column(1).slice(lo, BATCH).to_pylist()
+                keys = [xxhash.xxh3_128_digest((t or "").encode("utf-8", "surrogatepass")) for t in texts]
+                if len(known) > REMEMBER:
+                    known.clear()
+                fresh = {k: _counts(t, get) for k, t in dict(zip(keys, texts, strict=True)).items() if k not in known}
+                for k, (p, n, s) in zip(fresh, m.score(list(fresh.values())), strict=True):
+                    known[k] = (p, int(p >= 0.5), m.ids[n].tolist(), s.tolist())
+                out += [known[k] for k in keys]
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([r[c] for r in out], SCHEMA.field(c + 1).type) for c in range(4)), *b.columns[2:]], names=SCHEMA.names + b.schema.names[2:])
 
     return map_texts(docs, run, DDL, id_col, text_col, keep)
