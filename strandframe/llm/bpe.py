@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Words that are encoded once and looked up; bounds the literal table of common words.
-COMMON = 1 << 19
+COMMON = 1 << 18
 NONE = (1 << 40) - 1
 #: Bytes of words whose cuts fit in a long.
 SHORT = 62
@@ -147,18 +147,19 @@ class Bpe:
         tokens = f"filter(flatten(transform(sequence(1, n - 1), i -> {found})), x -> x >= 0)"
         cuts = "aggregate(sort_array(c), -1L, (m, x) -> if(bit_count(m & _n[x & 4095]) = 1 and (m & _o[x & 4095]) = _o[x & 4095], m ^ (m & _n[x & 4095]), m))"
         whole = "transform(filter(c, x -> (m & _f[x & 4095]) = _o[x & 4095]), x -> shiftleft(x & 4032, 10) + shiftrightunsigned(x, 12))"
-        bytes_ = f"transform(filter(sequence(1, n), i -> (m & _f[shiftleft(i, 6)]) = _o[shiftleft(i, 6)]), i -> {let('h', 'xxhash64(substring(w, i, 1))', f'shiftleft(cast(i as bigint), 16) + ({entry} & 65535)')})"
+        bytes_ = f"transform(filter(sequence(1, n), i -> (m & _f[shiftleft(i, 6)]) = _o[shiftleft(i, 6)]), i -> {let('h', 'xxhash64(substring(w, i, 1))', f'shiftleft(cast(i as bigint), 16) + ({entry} & 65535)', 'bigint')})"
         short = let("c", tokens, let("m", cuts, f"transform(sort_array(concat({whole}, {bytes_})), x -> cast(x & 65535 as int))"))
         single = let("h", "xxhash64(w)", f"array(cast({entry} & 65535 as int))")
 
         def rank(start: str, end: str) -> str:
-            return let("h", f"xxhash64(substring(w, {start} + 1, {end} - {start}))", f"if({end} - {start} <= {self.longest} and shiftrightunsigned({entry} ^ h, 16) = 0, {entry} & 65535, {NONE}L)")
+            return let("h", f"xxhash64(substring(w, {start} + 1, {end} - {start}))", f"if({end} - {start} <= {self.longest} and shiftrightunsigned({entry} ^ h, 16) = 0, {entry} & 65535, {NONE}L)", "bigint")
 
         ranks = f"if(n > 1, transform(sequence(0, n - 2), i -> {rank('i', '(i + 2)')}), array())"
+        state = "struct<a:array<int>,r:array<bigint>>"
         place = let("a", "concat(slice(s.a, 1, p), slice(s.a, p + 2, size(s.a)))", f"""named_struct('a', a, 'r', concat(
             if(p > 1, concat(slice(s.r, 1, p - 2), array({rank('a[p - 2]', 'a[p]')})), array()),
-            if(p + 1 < size(a), concat(array({rank('a[p - 1]', 'a[p + 1]')}), slice(s.r, p + 2, size(s.r))), array())))""")
-        step = let("x", "array_min(s.r)", f"if(x < {NONE}L, {let('p', 'cast(array_position(s.r, x) as int)', place)}, s)")
+            if(p + 1 < size(a), concat(array({rank('a[p - 1]', 'a[p + 1]')}), slice(s.r, p + 2, size(s.r))), array())))""", state)
+        step = let("x", "array_min(s.r)", f"if(x < {NONE}L, {let('p', 'cast(array_position(s.r, x) as int)', place, state)}, s)", state)
         start = f"named_struct('a', sequence(0, n), 'r', cast({ranks} as array<bigint>))"
         long = let("s", f"aggregate(sequence(1, n), {start}, (s, y) -> {step})", f"transform(sequence(0, size(s.a) - 2), i -> cast({rank('s.a[i]', 's.a[i + 1]')} as int))")
         own = f"if(n <= {SHORT}, {short}, {long})" if self.ordered else long
@@ -167,7 +168,7 @@ class Bpe:
     def decode(self, df: DataFrame, ids: str = "ids", out: str = "decoded") -> DataFrame:
         """Adds the bytes of a column of ids: concatenates their binary pieces; null gives null, no ids no bytes."""
         pieces = _literal(df.sparkSession, [p.hex().upper() for p in self.by_id], pa.string())
-        joined = F.expr(let("p", "_p_", f"unhex(array_join(transform(`{ids}`, i -> p[i]), ''))"))
+        joined = F.expr(let("p", "_p_", f"unhex(array_join(transform(`{ids}`, i -> p[i]), ''))", "binary"))
         return df.withColumn("_p_", pieces).withColumn(out, joined).drop("_p_")
 
 
@@ -176,9 +177,12 @@ def _load(path: str) -> Bpe:
     return Bpe(read_ranks(path))
 
 
-def let(name: str, value: str, body: str) -> str:
-    """SQL of ``body`` with ``name`` standing for ``value``, which is computed once."""
-    return f"transform(array({value}), {name} -> {body})[0]"
+def let(name: str, value: str, body: str, kind: str = "array<int>") -> str:
+    """SQL of ``body``, of type ``kind``, with ``name`` standing for ``value``, which is computed once.
+
+    A fold over one element hands the body's value on as it is, where a transform would copy it.
+    """
+    return f"aggregate(array({value}), cast(null as {kind}), (z_, {name}) -> {body})"
 
 
 def split(text: Column, pattern: str) -> Column:
@@ -219,8 +223,8 @@ class Lookup:
 
     def find(self, words: str, other: str) -> str:
         """SQL of the ids of each word of an array; ``other`` gives those of a word ``v`` that is not in the table."""
-        slot = f"(xxhash64(v) ^ _m[shiftrightunsigned(xxhash64(v), {65 - self.bits})]) & {(1 << self.bits) - 1}"
-        return let("v_", words, f"zip_with(v_, transform(v_, v -> {slot}), (v, x) -> if(_w[x] = v, _i[x], {other}))")
+        slots = f"transform(transform(v_, v -> xxhash64(v)), h -> (h ^ _m[shiftrightunsigned(h, {65 - self.bits})]) & {(1 << self.bits) - 1})"
+        return let("v_", words, f"zip_with(v_, {slots}, (v, x) -> if(_w[x] = v, _i[x], {other}))", "array<array<int>>")
 
 
 def encode(docs: DataFrame, bpe: Bpe, pattern: str, text_col: str = "text", out: str = "ids", limit: int = COMMON) -> DataFrame:
