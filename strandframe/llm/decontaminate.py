@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import re
 
 import ahocorasick
@@ -11,11 +12,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandframe.llm.common import map_texts
+from strandframe.llm.common import map_texts, with_kept
+from strandframe.plans.session import materialize
 
 WINDOW = 13
-#: Bytes of normalised benchmark text in one automaton; a larger benchmark takes several passes over each text in memory.
-BLOCK_BYTES = 8_000_000
+#: Bytes of normalised benchmark text in one automaton, and automata that a worker holds at once; a larger benchmark takes several passes over the texts.
+BLOCK_BYTES, PASS_BLOCKS = 8_000_000, 4
 
 _LOWER = bytes(range(65, 91))
 _WORD = bytes(b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else b + 32 if b in _LOWER else 32 for b in range(256))
@@ -57,7 +59,7 @@ def automaton(block: list[tuple[str, str]], size: int = WINDOW) -> ahocorasick.A
     for i, t in block:
         w = words(t)
         for x in windows(w, size):
-            held.setdefault(x, (min(len(w), size), set()))[1].add(i)
+            held.setdefault(x, (min(len(w), size), set()))[1].update(() if i is None else (i,))
     if not held:
         return None
     a = ahocorasick.Automaton()
@@ -109,39 +111,90 @@ def spans(text: str, hit: np.ndarray) -> list[dict]:
     return out
 
 
-def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", size: int = WINDOW, keep: tuple[str, ...] = ()) -> DataFrame:
+def _automata(sent: list, size: int) -> list:
+    """The automata of a pass, built once in each worker."""
+    if not all(key in _BUILT for _, key in sent):
+        _BUILT.clear()
+        _BUILT.update({key: automaton(b.value, size) for b, key in sent})
+    return [_BUILT[key] for _, key in sent if _BUILT[key] is not None]
+
+
+def _passes(sc, found, size: int):
+    """Blocks sent out, ``PASS_BLOCKS`` at a time."""
+    while own := list(itertools.islice(found, PASS_BLOCKS)):
+        yield [(sc.broadcast(b), hashlib.sha256(repr((size, b)).encode()).hexdigest()) for b in own]
+
+
+def _row(text: str | None, n: int, hit: np.ndarray | None, items) -> tuple:
+    return (n, 0 if hit is None else int(hit.sum()), len(items), sorted(items), [] if hit is None else spans(text, hit))
+
+
+def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", size: int = WINDOW, keep: tuple[str, ...] = (), block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Occurrences of benchmark windows in every whole text.
 
     Returns one row per input row: ``doc_id, n_words, n_hit, n_items, item_ids`` (sorted as
     strings) and ``spans``, the hit passages as character offsets of the original text. An
     item of fewer words than the window is one window; null and empty texts have no words; an
-    empty benchmark hits nothing; repeated rows are judged each; columns
+    empty benchmark hits nothing; items with a null id hit without being named; repeated rows are judged each; columns
     named in ``keep`` come back untouched in a struct ``kept``, others are ignored.
 
-    The benchmark is the query set: it is sent in blocks of ``BLOCK_BYTES``, every block is
-    built into one automaton per Python worker, and each text is scanned once per block.
+    The benchmark is the query set: it is sent in blocks of ``block_bytes``, each built into one automaton in a Python
+    worker, which holds ``PASS_BLOCKS`` of them. A benchmark of more is sought in several passes over the texts, whose
+    hits are joined by row.
     """
-    sc = docs.sparkSession.sparkContext
-    sent = [(b, hashlib.sha256(repr((size, b)).encode()).hexdigest()) for b in blocks(benchmark, item_col, item_text_col)]
-    sent = [(sc.broadcast(b), key) for b, key in sent]
-
-    def run(batches):
-        autos = []
-        for b, key in sent:
-            if key not in _BUILT:
-                if len(_BUILT) > 8:
-                    _BUILT.clear()
-                _BUILT[key] = automaton(b.value, size)
-            if _BUILT[key] is not None:
-                autos.append(_BUILT[key])
-        for batch in batches:
+    found = _passes(docs.sparkSession.sparkContext, blocks(benchmark, item_col, item_text_col, block_bytes), size)
+    first, second = next(found, []), next(found, None)
+    names = [f.name for f in SCHEMA]
+
+    def whole(batches):
+        autos = _automata(first, size)
+        for b in batches:
+            texts = b.column(1).to_pylist()
+            out = [_row(t, *_scan(t, autos)) for t in texts]
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([r[k] for r in out], SCHEMA.field(k + 1).type) for k in range(5)), *b.columns[2:]], names=names + b.schema.names[2:])
+
+    if second is None:
+        return map_texts(docs, whole, DDL, id_col, text_col, keep)
+    kept = [F.struct(*keep).alias("kept")] if keep else []
+    keyed = materialize(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.monotonically_increasing_id().alias("row"), *kept), "decontaminate")
+
+    def runs(sent):
+        def run(batches):
+            autos = _automata(sent, size)
+            for b in batches:
+                rows = []
+                for row, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                    _, hit, items = _scan(t, autos)
+                    if hit is not None:
+                        edge = np.flatnonzero(np.diff(hit.astype(np.int8), prepend=0, append=0))
+                        rows.append((row, edge.tolist(), sorted(items)))
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.list_(pa.int64())), pa.array([r[2] for r in rows], pa.list_(pa.string()))], names=["row", "edges", "items"])
+
+        return materialize(keyed.select("row", "text").mapInArrow(run, "row long, edges array<long>, items array<string>"), "decontaminate-hits")
+
+    hits = None
+    for sent in itertools.chain([first, second], found):
+        got = runs(sent)
+        hits = got if hits is None else hits.unionByName(got)
+        for b, _ in sent:
+            b.destroy()
+    hits = hits.groupBy("row").agg(F.flatten(F.collect_list("edges")).alias("edges"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
+
+    def joined(batches):
+        for b in batches:
             out = []
-            for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                n, hit, items = _scan(t, autos)
-                out.append((i, n, 0 if hit is None else int(hit.sum()), len(items), sorted(items), [] if hit is None else spans(t, hit)))
-            yield pa.RecordBatch.from_arrays([*(pa.array([r[k] for r in out], f.type) for k, f in enumerate(SCHEMA)), *batch.columns[2:]], names=SCHEMA.names + batch.schema.names[2:])
-
-    return map_texts(docs, run, DDL, id_col, text_col, keep)
+            for t, edges, items in zip(*(b.column(k).to_pylist() for k in (1, 2, 3)), strict=True):
+                n, hit = len(words(t)), None
+                if edges:
+                    hit = np.zeros(n + 1, np.int64)
+                    np.add.at(hit, edges[::2], 1)
+                    np.add.at(hit, edges[1::2], -1)
+                    hit = np.cumsum(hit)[:-1] > 0
+                out.append(_row(t, n, hit, items or ()))
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([r[k] for r in out], SCHEMA.field(k + 1).type) for k in range(5)), *b.columns[4:]], names=names + b.schema.names[4:])
+
+    rows = keyed.join(hits, "row", "left").select("doc_id", "text", "edges", "items", *(["kept"] if keep else []))
+    return rows.mapInArrow(joined, with_kept(DDL, rows))
 
 
 def judged(found: DataFrame) -> DataFrame:

@@ -152,6 +152,15 @@ def test_decontamination_edges(spark):
     assert decontaminate.find(odd_docs(spark, []), bench).count() == 0
 
 
+def test_large_benchmarks_take_passes(spark, monkeypatch):
+    """Blocks of a few bytes, one to a pass, give what one automaton gives."""
+    bench = spark.createDataFrame([(k, f"word and word {t}") for k, t in enumerate(("", "end", "x", "and", "row"))] + [(9, "repeated row"), (None, "repeated"), (7, "text without an")], "item_id long, text string")
+    rows = lambda d: sorted((str(r.doc_id), r.n_words, r.n_hit, r.n_items, r.item_ids, r.spans, r.kept.label) for r in d.collect())
+    whole = rows(decontaminate.find(odd_docs(spark), bench, keep=("label",)))
+    monkeypatch.setattr(decontaminate, "PASS_BLOCKS", 1)
+    assert rows(decontaminate.find(odd_docs(spark), bench, keep=("label",), block_bytes=30)) == whole and any(r[2] for r in whole)
+
+
 def test_quality_edges_and_equations(spark):
     stats = quality.document_statistics(train_docs(spark).withColumn("text", F.concat("text", F.repeat(F.lit("!? "), F.col("doc_id").cast("int")))))
     m = quality.fit(stats, labels(spark), F.col("doc_id") % 5 != 0)
