@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-WIDTH = 64
+#: Bases of the narrowest bins of overlap joins, how much wider each level is, and bases of the bins in which intervals are merged.
+WIDTH, FACTOR, SPAN = 64, 16, 1 << 18
 
 
 def overlap(s1: Column, e1: Column, s2: Column, e2: Column) -> Column:
@@ -33,29 +34,57 @@ def intersection(s1: Column, e1: Column, t1: Column, s2: Column, e2: Column) ->
 def overlap_join(a: DataFrame, b: DataFrame, stranded: bool = False, width: int = WIDTH) -> DataFrame:
     """One row per overlapping pair: ``contig, a_id, b_id, start, end, strand`` (of a).
 
-    Both sides go to the bins they touch and meet by an equi-join on contig and bin; a pair
-    counts in its first common bin alone, so no distinct is needed, and a hot contig spreads
-    over its bins. A wider bin suits longer intervals; any width gives the same result.
+    Bins have levels, each ``FACTOR`` times as wide as the one before; an interval's own level is the first whose bins are as
+    long as it is. A pair meets at the higher of both own levels, so an interval goes, at each level from its own on that
+    occurs in the tables, to the bins it touches there: two at most, however long it is. Both sides meet by an equi-join on contig, level and
+    bin; a pair counts in its first common bin alone, so no distinct is needed, and a hot contig spreads over its bins.
     """
+    size = F.greatest(F.col("end") - F.col("start"), F.lit(1))
+    level = F.greatest(F.ceil(F.log(size / width) / F.log(F.lit(float(FACTOR))) - 1e-9), F.lit(0)).cast("int").alias("level")
+    used = sorted({r.level for r in a.select(level).distinct().union(b.select(level).distinct()).distinct().collect()})
 
     def binned(x: DataFrame, p: str) -> DataFrame:
-        low, high = F.floor(F.col("start") / width), F.floor(F.greatest(F.col("start"), F.col("end") - 1) / width)
-        return x.select("contig", F.col("row_id").alias(f"{p}_id"), F.col("start").alias(f"{p}s"), F.col("end").alias(f"{p}e"), F.col("strand").alias(f"{p}t"), low.alias(f"{p}low"), F.explode(F.sequence(low, high)).alias("bin"))
-
-    j = binned(a, "a").join(binned(b, "b"), ["contig", "bin"]).where((F.col("as") < F.col("be")) & (F.col("bs") < F.col("ae")) & (F.col("bin") == F.greatest("alow", "blow")))
+        d = x.select("contig", F.col("row_id").alias(f"{p}_id"), F.col("start").alias(f"{p}s"), F.col("end").alias(f"{p}e"), F.col("strand").alias(f"{p}t"), level.alias(f"{p}own"))
+        reach = F.greatest(F.col(f"{p}s"), F.col(f"{p}e") - 1)
+        at = F.array(*(F.struct(F.lit(n).alias("level"), F.floor(F.col(f"{p}s") / (width * FACTOR**n)).alias("low"), F.floor(reach / (width * FACTOR**n)).alias("high")) for n in used)) if used else F.array().cast("array<struct<level:int,low:bigint,high:bigint>>")
+        d = d.select("*", F.explode(F.filter(at, lambda v: v.level >= F.col(f"{p}own"))).alias("_x"))
+        return d.select("*", "_x.level", F.col("_x.low").alias(f"{p}low"), F.explode(F.sequence("_x.low", "_x.high")).alias("bin")).drop("_x")
+
+    j = binned(a, "a").join(binned(b, "b"), ["contig", "level", "bin"])
+    j = j.where((F.col("as") < F.col("be")) & (F.col("bs") < F.col("ae")) & (F.col("level") == F.greatest("aown", "bown")) & (F.col("bin") == F.greatest("alow", "blow")))
     if stranded:
         j = j.where("at = bt")
     return j.select("contig", "a_id", "b_id", F.greatest("as", "bs").alias("start"), F.least("ae", "be").alias("end"), F.col("at").alias("strand"))
 
 
-def merge(x: DataFrame, tolerance: int = 0, by: tuple[str, ...] = ("contig",)) -> DataFrame:
-    """Unions of intervals that overlap, touch or lie within ``tolerance``; strand 0 where strands differ."""
-    w = Window.partitionBy(*by).orderBy("start", "end")
-    reach = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    cut = F.when(reach.isNull() | (F.col("start") > reach + tolerance), 1).otherwise(0)
+def merge(x: DataFrame, tolerance: int = 0, by: tuple[str, ...] = ("contig",), span: int = SPAN) -> DataFrame:
+    """Unions of intervals that overlap, touch or lie within ``tolerance``; strand 0 where strands differ.
+
+    A contig is cut into bins of ``span`` by start, so no task sorts a whole contig. What a bin needs of those before it is two numbers,
+    the farthest end and the start of the block that is open; these come from running values over a row per bin.
+    """
+    keys = (*by, "_bin")
+    d = x.withColumn("_bin", F.floor(F.col("start") / span))
+    before = Window.partitionBy(*by).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+
+    def joined(d: DataFrame, one: DataFrame) -> DataFrame:
+        names = {k: f"_{k}_" for k in keys}
+        right = one.select(*(F.col(k).alias(n) for k, n in names.items()), *(c for c in one.columns if c not in keys))
+        same = [d[k].eqNullSafe(right[n]) for k, n in names.items()]
+        return d.join(right, same).drop(*names.values())
+
+    ends = d.groupBy(*keys).agg(F.max("end").alias("_end"))
+    d = joined(d, ends.select(*keys, F.max("_end").over(before).alias("_reach")))
+    w = Window.partitionBy(*keys).orderBy("start", "end")
+    reach = F.greatest(F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.col("_reach"))
+    d = d.withColumn("_far", reach).withColumn("_cut", F.when(F.col("_far").isNull() | (F.col("start") > F.col("_far") + tolerance), F.col("start")))
     # a block is named by its start; the range frame takes equal intervals together, in whatever order they come
-    d = x.withColumn("_cut", cut).withColumn("_block", F.max(F.when(F.col("_cut") == 1, F.col("start"))).over(w.rangeBetween(Window.unboundedPreceding, 0)))
-    out = d.groupBy(*by, "_block").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min("strand").alias("_a"), F.max("strand").alias("_b"), F.count("*").alias("n"))
+    d = d.withColumn("_block", F.max("_cut").over(w.rangeBetween(Window.unboundedPreceding, 0)))
+    out = d.groupBy(*keys, "_block").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min("strand").alias("_a"), F.max("strand").alias("_b"), F.count("*").alias("n"))
+    # the rest of a block that an earlier bin began has no name yet: it is the last one begun before the bin
+    begun = out.groupBy(*keys).agg(F.max("_block").alias("_last"))
+    out = joined(out, begun.select(*keys, F.max("_last").over(before).alias("_open"))).withColumn("_block", F.coalesce("_block", "_open"))
+    out = out.groupBy(*by, "_block").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min("_a").alias("_a"), F.max("_b").alias("_b"), F.sum("n").alias("n"))
     strand = F.when(F.col("_a") == F.col("_b"), F.col("_a")).otherwise(0).alias("strand")
     return out.select(*by, "start", "end", *([] if "strand" in by else [strand]), "n")
 

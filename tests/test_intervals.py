@@ -47,6 +47,12 @@ def test_merge_is_idempotent_and_tiles_stay_inside(spark):
     x = frame(spark, [(k * 3 % 50, k * 3 % 50 + 4, 1) for k in range(30)])
     m = I.merge(x).drop("n").withColumn("row_id", F.monotonically_increasing_id())
     assert sorted(map(tuple, I.merge(m).drop("n").collect())) == sorted(map(tuple, m.drop("row_id").collect()))
+    for span in (1, 7, 20):
+        for tolerance in (0, 1):
+            assert sorted(map(tuple, I.merge(x, tolerance, span=span).collect())) == sorted(map(tuple, I.merge(x, tolerance).collect()))
+    sparse = frame(spark, [(0, 100, 1), (3, 5, -1), (90, 95, 1), (101, 102, 1), (130, 131, 1), (131, 140, 1)])
+    for span in (1, 10, 64):
+        assert sorted((r.start, r.end, r.strand, r.n) for r in I.merge(sparse, span=span).collect()) == [(0, 100, 0, 3), (101, 102, 1, 1), (130, 140, 1, 2)]
     assert I.tile(frame(spark, [(0, 9, 1)]), 10, 5).count() == 0
     assert [r.start for r in I.tile(frame(spark, [(0, 20, 1)]), 10, 5).orderBy("start").collect()] == [0, 5, 10]
 
@@ -57,3 +63,15 @@ def test_cover_linear_keeps_a_chain(spark):
     lengths = spark.createDataFrame([("c", 100)], "contig string, length long")
     x = frame(spark, [(0, 10, 1), (9, 20, 1)])
     assert I.cover_linear(x, lengths=lengths, min_coverage=0.2).count() == 2 and I.cover_linear(x, lengths=lengths, min_coverage=0.21).count() == 0
+
+
+def test_overlaps_of_all_lengths(spark):
+    """Intervals of lengths over many levels of bins, against all pairs."""
+    import random
+
+    rng = random.Random(4)
+    a, b = ([(s, s + int(2 ** rng.uniform(0, 22)), 1) for s in (rng.randint(0, 1 << 20) for _ in range(60))] for _ in range(2))
+    got = [(r.a_id, r.b_id, r.start, r.end) for r in I.overlap_join(frame(spark, a), frame(spark, b)).collect()]
+    want = [(i, j, max(x[0], y[0]), min(x[1], y[1])) for i, x in enumerate(a) for j, y in enumerate(b) if x[0] < y[1] and y[0] < x[1]]
+    assert sorted(got) == sorted(want)
+    assert I.overlap_join(frame(spark, a).limit(0), frame(spark, b).limit(0)).count() == 0
