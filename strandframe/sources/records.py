@@ -99,8 +99,10 @@ _NUMBER = re.compile(r"\d+")
 
 
 def location(text: str) -> tuple[int, int, int]:
-    """The hull of a location, 0-based and half-open, and -1 if any part is a complement."""
+    """The hull of a location, 0-based and half-open, and -1 if any part is a complement; a lone ``n+1..n`` is the empty span at n."""
     own = [int(x) for x in _NUMBER.findall(re.sub(r"[^,(]*:", "", text))]
+    if len(own) == 2 and own[1] == own[0] - 1 and ".." in text:
+        return own[1], own[1], -1 if "complement" in text else 1
     return (min(own) - 1, max(own), -1 if "complement" in text else 1) if own else (0, 0, 1)
 
 
@@ -138,7 +140,7 @@ def parse_flat(text: str) -> dict | None:
     for line in text.replace("\r", "").split("\n"):
         mark = line[:12].strip() if line[:1].strip() else ""
         code = line[:2]
-        if where == "seq" and not mark:
+        if where == "seq" and (not mark or mark[0].isdigit()):  # from 100,000,000 on, numbers fill the margin
             seq.append(re.sub(r"[^A-Za-z*-]", "", line))
         elif mark == "LOCUS":
             r["seq_id"], where = (line.split() + ["", ""])[1], ""

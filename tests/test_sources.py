@@ -136,3 +136,12 @@ def test_package_and_assembly(spark, tmp_path):
     fa = put(tmp_path, "asm.fasta", ">a topology=circular\nACGT\n>b\nAC\n")
     seqs, feats, links = X.load_assembly(spark, fa, put(tmp_path, "f.bed", "a\t0\t2\tg\nz\t0\t2\tg\n"))
     assert seqs.count() == 2 and [r.seq_id for r in feats.collect()] == ["a"] and [(r.u, r.v) for r in links.collect()] == [("a", "a")]
+
+
+def test_flat_files_keep_empty_spans_and_long_sequences(spark):
+    assert R.location("complement(1..0)") == (0, 0, -1) and R.location("11..10") == (10, 10, 1)
+    f = [{"key": "gene", "start": 0, "end": 0, "strand": -1, "qualifiers": []}]
+    for embl in (False, True):
+        got = R.parse_flat(R.flat_text({"seq_id": "a", "seq": "", "features": f}, embl))
+        assert got["seq"] == "" and [(x["start"], x["end"], x["strand"]) for x in got["features"]] == [(0, 0, -1)]
+    assert R.parse_flat("LOCUS       a\nORIGIN\n 99999961 acgt\n100000021 ttaa\n//")["seq"] == "ACGTTTAA"
