@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -50,3 +51,9 @@ def discard(df: DataFrame) -> None:
         jvm = df.sparkSession._jvm
         p = jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Asks the driver's JVM to collect garbage, upon which Spark deletes the shuffle files of finished queries everywhere."""
+    gc.collect()
+    spark._jvm.System.gc()

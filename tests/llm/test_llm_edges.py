@@ -6,6 +6,7 @@ import math
 import random
 import re
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -218,3 +219,19 @@ def test_pipeline_runs_whole(spark, tmp_path):
     assert {k for k in range(120) if k % 5 in (0, 3, 4)} <= kept and sum(r.doc_id is None for r in got) == 1
     text = dict(enumerate(texts))
     assert all(r.decoded_sha256 == hashlib.sha256(text[r.doc_id].encode()).hexdigest() for r in got if r.doc_id is not None)
+
+
+def test_embeddings_write_little(spark, monkeypatch):
+    """Vectors that link with nothing leave no lists behind, and vectors are not dealt once for each tree."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(3000, 64)).astype(np.float32)
+    x[1:200:2] = x[0:200:2] * 2 + 0.01
+    d = spark.createDataFrame([(k, v) for k, v in enumerate(x.tolist())], "vec_id long, embedding array<float>").withColumn("label", F.lit(0))
+    made, keep = [], embed_dedup.materialize
+    monkeypatch.setattr(embed_dedup, "materialize", lambda df, name: made.append((name, keep(df, name))) or made[-1][1])
+    monkeypatch.setattr(embed_dedup, "discard", lambda df: None)
+    found, audit = embed_dedup.near_duplicates(d)
+    got = [r.n_links for r in found.orderBy("vec_id").collect()]
+    assert got == [1] * 200 + [0] * 2800 and audit.recall == 1.0
+    assert sum(t.count() for name, t in made if name == "embed-lists") < 1000
+    assert sum(p.stat().st_size for _, t in made for p in Path(t._strandframe_path.removeprefix("file:")).glob("*.parquet")) < 3 * x.nbytes
