@@ -154,3 +154,26 @@ def test_minimizers_by_hand(spark):
     h = [code(seq[i : i + k]) for i in range(len(seq) - k + 1)]
     want = {min((h[j], j) for j in range(i, i + w)) for i in range(len(h) - w + 1)}
     assert {(r.hash, r.pos) for r in K.minimizers(seqs, k, w).collect()} == want
+
+
+def test_sketches_in_chunks_and_pairs_in_blocks(spark, monkeypatch):
+    """Neither k-mers nor the hashes that pairs share are shuffled; blocks of any size give the pairs of plain sets."""
+    rng = random.Random(5)
+    texts = {f"s{k}": "".join(rng.choice("TCAG") for _ in range(rng.choice((0, 3, 4, 40, 90)))) for k in range(40)}
+    d = spark.createDataFrame(list(texts.items()), "seq_id string, seq string")
+    code = lambda w: min(w.translate(str.maketrans("TCAG", "0123")), w[::-1].translate(str.maketrans("TCAG", "2301")))
+    want = {k: sorted({code(t[i : i + 4]) for i in range(len(t) - 3)})[:8] for k, t in texts.items()}
+    sketch = K.minhash(d, 4, 8, chunk=7)
+    assert sorted(map(tuple, sketch.collect())) == sorted((k, h) for k, v in want.items() for h in v)
+    sets = {k: set(v) for k, v in want.items() if v}
+    pairs = {(a, b): len(x & y) / len(x | y) for a, x in sets.items() for b, y in sets.items() if x & y}
+    for indexed, streamed in ((1 << 16, 1 << 18), (7, 11)):
+        monkeypatch.setattr(K, "INDEXED", indexed)
+        monkeypatch.setattr(K, "STREAMED", streamed)
+        got = K.sketch_jaccard(sketch, sketch)
+        assert "Join" not in got._jdf.queryExecution().toString()
+        rows = got.collect()
+        assert {(r.a_id, r.b_id): r.jaccard for r in rows} == pairs and len(rows) == len(pairs)
+    other = sketch.where("seq_id < 's2'")
+    assert {(r.a_id, r.b_id) for r in K.sketch_jaccard(other, sketch).collect()} == {p for p in pairs if p[0] < "s2"}
+    assert K.sketch_jaccard(sketch.limit(0), sketch).count() == 0
