@@ -157,9 +157,9 @@ def _joined(same, p, x, u, q, y, v):
 def _near_signatures(p: np.ndarray, x: np.ndarray, q: np.ndarray, y: np.ndarray, same: bool) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of ids whose signatures are near: the ``LEAF_K`` nearest of each, and a forest that connects all that are likely links."""
     found = []
-    for lo in range(0, len(p), 256):
+    for lo in range(0, len(p), 64):
         at = lo if same else 0
-        h = np.bitwise_count(x[lo : lo + 256, None, 0] ^ y[None, at:, 0]) + np.bitwise_count(x[lo : lo + 256, None, 1] ^ y[None, at:, 1])
+        h = np.bitwise_count(x[lo : lo + 64, None, 0] ^ y[None, at:, 0]) + np.bitwise_count(x[lo : lo + 64, None, 1] ^ y[None, at:, 1])
         i, j = np.nonzero(h <= NEAR_BITS)
         found.append((i + lo, j + at, h[i, j]))
     i, j, h = (np.concatenate(c) for c in zip(*found, strict=True))
@@ -167,13 +167,15 @@ def _near_signatures(p: np.ndarray, x: np.ndarray, q: np.ndarray, y: np.ndarray,
         i, j, h = (c[i < j] for c in (i, j, h))
     if not len(i):
         return p[i], q[j]
-    link = np.zeros((len(p), len(q)), bool)
     near = h <= LINK_BITS
-    link[i[near], j[near]] = True
+    r, c = (np.unique(np.concatenate([i[near], j[near]])),) * 2 if same else (np.unique(i[near]), np.unique(j[near]))  # only those with a likely link
+    link = np.zeros((len(r), len(c)), bool)
+    link[np.searchsorted(r, i[near]), np.searchsorted(c, j[near])] = True
     if same:
         link |= link.T
-        np.fill_diagonal(link, link.any(axis=1))
+        np.fill_diagonal(link, True)
     m, n = _forest(link)
+    m, n = r[m], c[n]
     ends = (np.concatenate([i, j + (0 if same else len(p))]), np.concatenate([h, h]), np.concatenate([np.arange(len(i))] * 2))
     by = np.lexsort((ends[2], ends[1], ends[0]))
     own = ends[0][by]
