@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import base64
+from collections.abc import Iterable
+from copy import copy
 from functools import lru_cache
+from itertools import chain
 
 import pyarrow as pa
 import xxhash
@@ -15,6 +18,8 @@ COMMON = 1 << 18
 NONE = (1 << 40) - 1
 #: Bytes of words whose cuts fit in a long.
 SHORT = 62
+#: Windows whose tokens are listed beforehand; bounds the literal table of windows.
+WINDOWS = 1 << 17
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -86,11 +91,15 @@ class Bpe:
     """The literals of one rank file, as arrays that expressions read.
 
     ``_t`` and ``_d`` map the hash of a piece to its rank (a fingerprint of 48 bits and the rank
-    in one long); ``_l`` bounds the length of tokens by the hash of their first four bytes; ``_o``, ``_n`` and ``_f``
-    are the ends, the inside and all of a stretch of a word as bits, by ``start * 64 + length - 1``.
+    in one long); ``_l`` bounds the length of tokens by the hash of their first four bytes; ``_o``, ``_f`` and ``_c``
+    are the ends, all, and all but the inside of a stretch of a word as bits, by ``start * 64 + length - 1``.
+    A window is five bytes of a word from its first, third, fifth ... byte, fewer at its end. By the hash of a window, ``_x`` and ``_h`` find its slot;
+    ``_e`` lists the tokens within it that begin at its first two bytes, as ``rank << 12 | start << 6 | length - 1``, and ``_g``
+    the longer tokens that may begin there, as ``length << 1 | start``. Windows that are not listed are looked up
+    length by length, so which are listed changes no result.
     """
 
-    SLOTS, PREFIX = 17, 4
+    SLOTS, PREFIX, WINDOW = 17, 4, 5
 
     def __init__(self, ranks: dict[bytes, int]):
         if len(ranks) > 1 << 16:
@@ -114,7 +123,40 @@ class Bpe:
         for i in range(1, SHORT + 1):
             for n in range(1, SHORT + 2 - i):
                 ends[i << 6 | n - 1], inner[i << 6 | n - 1] = (1 | 1 << n) << (i - 1), ((1 << n - 1) - 1) << i
-        self.tables = {"_t": table, "_d": moved, "_l": lengths, "_o": [_signed(x) for x in ends], "_n": [_signed(x) for x in inner], "_f": [_signed(a | b) for a, b in zip(ends, inner, strict=True)]}
+        self.tables = {
+            "_t": (table, pa.int64()), "_d": (moved, pa.int32()), "_l": (lengths, pa.int32()), "_o": ([_signed(x) for x in ends], pa.int64()),
+            "_f": ([_signed(a | b) for a, b in zip(ends, inner, strict=True)], pa.int64()), "_c": ([_signed(~x) for x in inner], pa.int64()),
+        }
+        self._list_windows(())
+
+    def _list_windows(self, words: Iterable[bytes], limit: int = WINDOWS) -> None:
+        """Lists at most ``limit`` windows of the words and, while there is room, of the tokens."""
+        seen, longer = {}, {}
+        for w in chain(words, self.ranks):
+            for i in range(len(w) - 1):
+                seen[w[i : i + self.WINDOW]] = None
+            if len(seen) >= limit:
+                break
+        for w in self.ranks:
+            for n in (self.WINDOW, self.WINDOW - 1):
+                if n < len(w) <= SHORT:
+                    longer.setdefault(w[:n], []).append(len(w))
+        windows = list(seen)[:limit]
+        inside = [[self.ranks[w[i:k]] << 12 | i + 1 << 6 | k - i - 1 for i in (0, 1) for k in range(i + 2, len(w) + 1) if w[i:k] in self.ranks] for w in windows]
+        beyond = [sorted({k << 1 | i for i in (0, 1) for k in longer.get(w[i:], ())}) if len(w) == self.WINDOW else [] for w in windows]
+        hashes = [xxhash.xxh64_intdigest(w, 42) for w in windows]
+        self.bits = max(4, (2 * len(windows) - 1).bit_length())
+        moved, slots = _displaced(hashes, self.bits)
+        self.tables = self.tables | {
+            "_x": (moved, pa.int32()), "_h": ([0 if k is None else _signed(hashes[k]) for k in slots], pa.int64()),
+            "_e": ([None if k is None else inside[k] for k in slots], pa.list_(pa.int32())), "_g": ([None if k is None else beyond[k] or None for k in slots], pa.list_(pa.int32())),
+        }
+
+    def fitted(self, words: Iterable[bytes]) -> Bpe:
+        """The same ranks with the windows of these words."""
+        out = copy(self)
+        out._list_windows(words)
+        return out
 
     @classmethod
     def load(cls, path: str) -> Bpe:
@@ -122,7 +164,7 @@ class Bpe:
 
     def bind(self, df: DataFrame) -> DataFrame:
         """``df`` with the literals under the names that :meth:`encode_word` reads, bound outside of any lambda by :meth:`let`."""
-        return df.select("*", *(_literal(df.sparkSession, v, pa.int64()).alias(f"{k}_") for k, v in self.tables.items()))
+        return df.select("*", *(_literal(df.sparkSession, v, kind).alias(f"{k}_") for k, (v, kind) in self.tables.items()))
 
     def let(self, body: str) -> str:
         for k in self.tables:
@@ -135,40 +177,47 @@ class Bpe:
     def encode_word(self, word: str) -> str:
         """SQL of the ids of the word that an expression names.
 
-        All tokens of two bytes and more that stand in the word are listed as ``rank << 12 | start << 6 | length - 1`` and
-        folded by rank, leftmost first, over a long whose bits are the places where the word
-        is still cut: a token whose ends are cut, with one cut inside, is a pair that merges. Tokens and single bytes that
-        remain are put in order of their starts. Words over ``SHORT`` bytes, and all words of a rank file that is not
+        All tokens of two bytes and more that stand in the word are listed as ``rank << 12 | start << 6 | length - 1``, from the
+        lists of its windows, and folded by rank, leftmost first, over a long whose bits are the places where the word
+        is still cut: a token whose ends are cut, with one cut inside, is a pair that merges. (One bit of difference between the cuts of a
+        stretch and its ends is such a pair, or a stretch with no cut inside, where nothing changes; -1 stands for no token.) What stands between the cuts
+        that remain are the tokens. Words over ``SHORT`` bytes, and all words of a rank file that is not
         :func:`_ordered`, merge one pair a step instead.
         """
         entry = f"_t[(h ^ _d[shiftrightunsigned(h, {65 - self.SLOTS})]) & {(1 << self.SLOTS) - 1}]"
-        lengths = f"sequence(2, cast(least(n + 1 - i, _l[xxhash64(substring(w, i, {self.PREFIX})) & 65535]) as int))"
-        found = f"transform(transform({lengths}, k -> xxhash64(substring(w, i, k))), (h, k) -> if(shiftrightunsigned({entry} ^ h, 16) = 0, shiftleft({entry} & 65535, 12) + (shiftleft(i, 6) + k + 1), -1L))"
-        tokens = f"filter(flatten(transform(sequence(1, n - 1), i -> {found})), x -> x >= 0)"
-        cuts = "aggregate(sort_array(c), -1L, (m, x) -> if(bit_count(m & _n[x & 4095]) = 1 and (m & _o[x & 4095]) = _o[x & 4095], m ^ (m & _n[x & 4095]), m))"
-        whole = "transform(filter(c, x -> (m & _f[x & 4095]) = _o[x & 4095]), x -> shiftleft(x & 4032, 10) + shiftrightunsigned(x, 12))"
-        bytes_ = f"transform(filter(sequence(1, n), i -> (m & _f[shiftleft(i, 6)]) = _o[shiftleft(i, 6)]), i -> {let('h', 'xxhash64(substring(w, i, 1))', f'shiftleft(cast(i as bigint), 16) + ({entry} & 65535)', 'bigint')})"
-        short = let("c", tokens, let("m", cuts, f"transform(sort_array(concat({whole}, {bytes_})), x -> cast(x & 65535 as int))"))
+        known = f"if(shiftrightunsigned({entry} ^ h, 16) = 0, shiftleft(cast({entry} & 65535 as int), 12)"
+        lengths = f"sequence(2, least(n - i, _l[xxhash64(substring(w, i + 1, {self.PREFIX})) & 65535]))"
+        found = f"transform(transform({lengths}, k -> xxhash64(substring(w, i + 1, k))), (h, k) -> {known} + shiftleft(i, 6) + (k + 65), -1))"
+        unlisted = f"flatten(transform(sequence(2 * j, least(2 * j + 1, n - 2)), i -> {found}))"
+        longer = let("h", "xxhash64(substring(w, 2 * j + 1 + (y & 1), shiftright(y, 1)))", f"{known} + shiftleft(2 * j + (y & 1), 6) + (63 + shiftright(y, 1)), -1)")
+        beyond = f"transform(_g[x], y -> if(2 * j + (y & 1) + shiftright(y, 1) > n, -1, {longer}))"
+        inside = "transform(_e[x], y -> y + shiftleft(j, 7))"
+        listed = f"if(_g[x] is null, {inside}, concat({inside}, {beyond}))"
+        slots = f"transform(h_, h -> (h ^ _x[shiftrightunsigned(h, {65 - self.bits})]) & {(1 << self.bits) - 1})"
+        at = let("h_", f"transform(sequence(1, n - 1, 2), i -> xxhash64(substring(w, i, {self.WINDOW})))", f"zip_with(h_, {slots}, (h, x) -> if(_h[x] = h, cast(x as int), -1))")
+        tokens = f"flatten(transform({at}, (x, j) -> if(x < 0, {unlisted}, {listed})))"
+        cuts = f"aggregate(sort_array({tokens}), -1L, (m, x) -> if(bit_count((m & _f[x & 4095]) ^ _o[x & 4095]) = 1, m & _c[x & 4095], m))"
+        hashes = "transform(a, (i, k) -> xxhash64(substring(w, i + 1, coalesce(get(a, k + 1), n) - i)))"
+        short = let("m", cuts, let("a", "filter(sequence(0, n - 1), i -> getbit(m, i) = 1)", f"transform({hashes}, h -> cast({entry} & 65535 as int))"))
         single = let("h", "xxhash64(w)", f"array(cast({entry} & 65535 as int))")
 
         def rank(start: str, end: str) -> str:
-            return let("h", f"xxhash64(substring(w, {start} + 1, {end} - {start}))", f"if({end} - {start} <= {self.longest} and shiftrightunsigned({entry} ^ h, 16) = 0, {entry} & 65535, {NONE}L)", "bigint")
+            return let("h", f"xxhash64(substring(w, {start} + 1, {end} - {start}))", f"if({end} - {start} <= {self.longest} and shiftrightunsigned({entry} ^ h, 16) = 0, {entry} & 65535, {NONE}L)")
 
         ranks = f"if(n > 1, transform(sequence(0, n - 2), i -> {rank('i', '(i + 2)')}), array())"
-        state = "struct<a:array<int>,r:array<bigint>>"
         place = let("a", "concat(slice(s.a, 1, p), slice(s.a, p + 2, size(s.a)))", f"""named_struct('a', a, 'r', concat(
             if(p > 1, concat(slice(s.r, 1, p - 2), array({rank('a[p - 2]', 'a[p]')})), array()),
-            if(p + 1 < size(a), concat(array({rank('a[p - 1]', 'a[p + 1]')}), slice(s.r, p + 2, size(s.r))), array())))""", state)
-        step = let("x", "array_min(s.r)", f"if(x < {NONE}L, {let('p', 'cast(array_position(s.r, x) as int)', place, state)}, s)", state)
+            if(p + 1 < size(a), concat(array({rank('a[p - 1]', 'a[p + 1]')}), slice(s.r, p + 2, size(s.r))), array())))""")
+        step = let("x", "array_min(s.r)", f"if(x < {NONE}L, {let('p', 'cast(array_position(s.r, x) as int)', place)}, s)")
         start = f"named_struct('a', sequence(0, n), 'r', cast({ranks} as array<bigint>))"
         long = let("s", f"aggregate(sequence(1, n), {start}, (s, y) -> {step})", f"transform(sequence(0, size(s.a) - 2), i -> cast({rank('s.a[i]', 's.a[i + 1]')} as int))")
         own = f"if(n <= {SHORT}, {short}, {long})" if self.ordered else long
         return let("w", f"cast({word} as binary)", let("n", "octet_length(w)", f"if(n = 0, cast(array() as array<int>), if(n = 1, {single}, {own}))"))
 
     def decode(self, df: DataFrame, ids: str = "ids", out: str = "decoded") -> DataFrame:
-        """Adds the bytes of a column of ids: concatenates their binary pieces; null gives null, no ids no bytes."""
-        pieces = _literal(df.sparkSession, [p.hex().upper() for p in self.by_id], pa.string())
-        joined = F.expr(let("p", "_p_", f"unhex(array_join(transform(`{ids}`, i -> p[i]), ''))", "binary"))
+        """Adds the bytes of a column of ids: concatenates their binary pieces, a character of Latin-1 for each byte; null gives null, no ids no bytes."""
+        pieces = _literal(df.sparkSession, [p.decode("latin-1") for p in self.by_id], pa.string())
+        joined = F.expr(let("p", "_p_", f"encode(array_join(transform(`{ids}`, i -> p[i]), ''), 'ISO-8859-1')"))
         return df.withColumn("_p_", pieces).withColumn(out, joined).drop("_p_")
 
 
@@ -177,12 +226,13 @@ def _load(path: str) -> Bpe:
     return Bpe(read_ranks(path))
 
 
-def let(name: str, value: str, body: str, kind: str = "array<int>") -> str:
-    """SQL of ``body``, of type ``kind``, with ``name`` standing for ``value``, which is computed once.
+def let(name: str, value: str, body: str) -> str:
+    """SQL of ``body`` with ``name`` standing for ``value``, which is computed once.
 
-    A fold over one element hands the body's value on as it is, where a transform would copy it.
+    The value starts a fold over nothing and the body finishes it, whose result is handed on as it is; transforms and the steps of
+    folds copy theirs.
     """
-    return f"aggregate(array({value}), cast(null as {kind}), (z_, {name}) -> {body})"
+    return f"aggregate(array(), {value}, (z_, y_) -> z_, {name} -> {body})"
 
 
 def split(text: Column, pattern: str) -> Column:
@@ -208,7 +258,7 @@ class Lookup:
     def __init__(self, entries: list):
         self.bits = max(4, (2 * len(entries) - 1).bit_length())
         moved, slots = _displaced([xxhash.xxh64_intdigest(w.encode(), 42) for w, _ in entries], self.bits)
-        self.tables = {"_m": (moved, pa.int64()), "_w": ([None if k is None else entries[k][0] for k in slots], pa.string()), "_i": ([None if k is None else entries[k][1] for k in slots], pa.list_(pa.int32()))}
+        self.tables = {"_m": (moved, pa.int32()), "_w": ([None if k is None else entries[k][0] for k in slots], pa.string()), "_i": ([None if k is None else entries[k][1] for k in slots], pa.list_(pa.int32()))}
 
     def bind(self, df: DataFrame) -> DataFrame:
         return df.select("*", *(_literal(df.sparkSession, v, kind).alias(f"{k}_") for k, (v, kind) in self.tables.items()))
@@ -224,7 +274,7 @@ class Lookup:
     def find(self, words: str, other: str) -> str:
         """SQL of the ids of each word of an array; ``other`` gives those of a word ``v`` that is not in the table."""
         slots = f"transform(transform(v_, v -> xxhash64(v)), h -> (h ^ _m[shiftrightunsigned(h, {65 - self.bits})]) & {(1 << self.bits) - 1})"
-        return let("v_", words, f"zip_with(v_, {slots}, (v, x) -> if(_w[x] = v, _i[x], {other}))", "array<array<int>>")
+        return let("v_", words, f"zip_with(v_, {slots}, (v, x) -> if(_w[x] = v, _i[x], {other}))")
 
 
 def encode(docs: DataFrame, bpe: Bpe, pattern: str, text_col: str = "text", out: str = "ids", limit: int = COMMON) -> DataFrame:
@@ -236,7 +286,8 @@ def encode(docs: DataFrame, bpe: Bpe, pattern: str, text_col: str = "text", out:
     encode alike; an existing column of the name ``out`` is replaced, others pass through, but for
     names of an underscore, a letter and another underscore, which are taken.
     """
-    known = Lookup(common_words(docs, bpe, pattern, text_col, limit))
+    common = common_words(docs, bpe, pattern, text_col, limit)
+    known, bpe = Lookup(common), bpe.fitted(w.encode() for w, _ in common)
     split_text = docs.withColumn("_s_", split(F.col(text_col), pattern))
     ids = bpe.let(known.let(f"flatten({known.find('_s_', bpe.encode_word('v'))})"))
     return known.unbind(bpe.unbind(known.bind(bpe.bind(split_text)).withColumn(out, F.expr(ids)))).drop("_s_")

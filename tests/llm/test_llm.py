@@ -160,6 +160,19 @@ def test_bpe_long_words_and_any_ranks(spark):
             assert r.ids == want
 
 
+def test_bpe_windows_change_no_result(spark):
+    """Words whose windows are all listed, some of them or none, with long tokens that start in a window and tokens cut off by the end."""
+    b = bpe.Bpe.load(queries.tokenizer_file("byte_bpe_multi_50k.tiktoken"))
+    rng = random.Random(8)
+    tokens = [t for t in b.ranks if len(t) > 5 and t.isascii()]
+    words = ["".join(rng.choice(tokens).decode()[: rng.randint(2, 12)] for _ in range(rng.randint(1, 4))) for _ in range(300)]
+    words += [chr(rng.randint(97, 122)) * rng.randint(1, 62) for _ in range(30)] + ["é東" * rng.randint(1, 12) for _ in range(9)] + ["ab", "abc", "a", ""]
+    d = docs(spark, words)
+    for own in (b, b.fitted(w.encode() for w in words[::2]), b.fitted(w.encode() for w in words)):
+        coded = own.unbind(own.bind(d).withColumn("ids", F.expr(own.let(own.encode_word("text")))))
+        assert {r.doc_id: r.ids for r in coded.collect()} == {k: merges(w.encode(), b.ranks) for k, w in enumerate(words)}
+
+
 @pytest.mark.parametrize("head", [0, 10, 40])
 def test_block_max_search_is_exact(head):
     rng = np.random.default_rng(0)
