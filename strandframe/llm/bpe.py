@@ -6,7 +6,6 @@ import base64
 from collections.abc import Iterable
 from copy import copy
 from functools import lru_cache
-from itertools import chain
 
 import pyarrow as pa
 import xxhash
@@ -61,13 +60,13 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def _literal(spark: SparkSession, values: list, kind: pa.DataType) -> Column:
+def _literal(spark: SparkSession, values: pa.Array) -> Column:
     """A constant array as a scalar subquery over one local row.
 
     Spark runs it once and hands the value to tasks as a literal, in its compact binary form,
     and plans show a short name for it, not its megabytes.
     """
-    return spark.createDataFrame(pa.table({"t": pa.array([values], pa.list_(kind))})).scalar()
+    return spark.createDataFrame(pa.table({"t": pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)})).scalar()
 
 
 def _ordered(ranks: dict[bytes, int]) -> bool:
@@ -124,15 +123,15 @@ class Bpe:
             for n in range(1, SHORT + 2 - i):
                 ends[i << 6 | n - 1], inner[i << 6 | n - 1] = (1 | 1 << n) << (i - 1), ((1 << n - 1) - 1) << i
         self.tables = {
-            "_t": (table, pa.int64()), "_d": (moved, pa.int32()), "_l": (lengths, pa.int32()), "_o": ([_signed(x) for x in ends], pa.int64()),
-            "_f": ([_signed(a | b) for a, b in zip(ends, inner, strict=True)], pa.int64()), "_c": ([_signed(~x) for x in inner], pa.int64()),
+            "_t": pa.array(table, pa.int64()), "_d": pa.array(moved, pa.int32()), "_l": pa.array(lengths, pa.int32()), "_o": pa.array([_signed(x) for x in ends], pa.int64()),
+            "_f": pa.array([_signed(a | b) for a, b in zip(ends, inner, strict=True)], pa.int64()), "_c": pa.array([_signed(~x) for x in inner], pa.int64()),
         }
         self._list_windows(())
 
     def _list_windows(self, words: Iterable[bytes], limit: int = WINDOWS) -> None:
-        """Lists at most ``limit`` windows of the words and, while there is room, of the tokens."""
+        """Lists at most ``limit`` windows of the words."""
         seen, longer = {}, {}
-        for w in chain(words, self.ranks):
+        for w in words:
             for i in range(len(w) - 1):
                 seen[w[i : i + self.WINDOW]] = None
             if len(seen) >= limit:
@@ -142,14 +141,19 @@ class Bpe:
                 if n < len(w) <= SHORT:
                     longer.setdefault(w[:n], []).append(len(w))
         windows = list(seen)[:limit]
-        inside = [[self.ranks[w[i:k]] << 12 | i + 1 << 6 | k - i - 1 for i in (0, 1) for k in range(i + 2, len(w) + 1) if w[i:k] in self.ranks] for w in windows]
-        beyond = [sorted({k << 1 | i for i in (0, 1) for k in longer.get(w[i:], ())}) if len(w) == self.WINDOW else [] for w in windows]
         hashes = [xxhash.xxh64_intdigest(w, 42) for w in windows]
         self.bits = max(4, (2 * len(windows) - 1).bit_length())
         moved, slots = _displaced(hashes, self.bits)
+
+        def inside(w: bytes) -> list[int]:
+            return [self.ranks[w[i:k]] << 12 | i + 1 << 6 | k - i - 1 for i in (0, 1) for k in range(i + 2, len(w) + 1) if w[i:k] in self.ranks]
+
+        def beyond(w: bytes) -> list[int] | None:
+            return len(w) == self.WINDOW and sorted({k << 1 | i for i in (0, 1) for k in longer.get(w[i:], ())}) or None
+
         self.tables = self.tables | {
-            "_x": (moved, pa.int32()), "_h": ([0 if k is None else _signed(hashes[k]) for k in slots], pa.int64()),
-            "_e": ([None if k is None else inside[k] for k in slots], pa.list_(pa.int32())), "_g": ([None if k is None else beyond[k] or None for k in slots], pa.list_(pa.int32())),
+            "_x": pa.array(moved, pa.int32()), "_h": pa.array((None if k is None else _signed(hashes[k]) for k in slots), pa.int64()),
+            "_e": pa.array((None if k is None else inside(windows[k]) for k in slots), pa.list_(pa.int32())), "_g": pa.array((None if k is None else beyond(windows[k]) for k in slots), pa.list_(pa.int32())),
         }
 
     def fitted(self, words: Iterable[bytes]) -> Bpe:
@@ -164,7 +168,7 @@ class Bpe:
 
     def bind(self, df: DataFrame) -> DataFrame:
         """``df`` with the literals under the names that :meth:`encode_word` reads, bound outside of any lambda by :meth:`let`."""
-        return df.select("*", *(_literal(df.sparkSession, v, kind).alias(f"{k}_") for k, (v, kind) in self.tables.items()))
+        return df.select("*", *(_literal(df.sparkSession, v).alias(f"{k}_") for k, v in self.tables.items()))
 
     def let(self, body: str) -> str:
         for k in self.tables:
@@ -216,7 +220,7 @@ class Bpe:
 
     def decode(self, df: DataFrame, ids: str = "ids", out: str = "decoded") -> DataFrame:
         """Adds the bytes of a column of ids: concatenates their binary pieces, a character of Latin-1 for each byte; null gives null, no ids no bytes."""
-        pieces = _literal(df.sparkSession, [p.decode("latin-1") for p in self.by_id], pa.string())
+        pieces = _literal(df.sparkSession, pa.array([p.decode("latin-1") for p in self.by_id]))
         joined = F.expr(let("p", "_p_", f"encode(array_join(transform(`{ids}`, i -> p[i]), ''), 'ISO-8859-1')"))
         return df.withColumn("_p_", pieces).withColumn(out, joined).drop("_p_")
 
@@ -258,10 +262,10 @@ class Lookup:
     def __init__(self, entries: list):
         self.bits = max(4, (2 * len(entries) - 1).bit_length())
         moved, slots = _displaced([xxhash.xxh64_intdigest(w.encode(), 42) for w, _ in entries], self.bits)
-        self.tables = {"_m": (moved, pa.int32()), "_w": ([None if k is None else entries[k][0] for k in slots], pa.string()), "_i": ([None if k is None else entries[k][1] for k in slots], pa.list_(pa.int32()))}
+        self.tables = {"_m": pa.array(moved, pa.int32()), "_w": pa.array((None if k is None else entries[k][0] for k in slots), pa.string()), "_i": pa.array((None if k is None else entries[k][1] for k in slots), pa.list_(pa.int32()))}
 
     def bind(self, df: DataFrame) -> DataFrame:
-        return df.select("*", *(_literal(df.sparkSession, v, kind).alias(f"{k}_") for k, (v, kind) in self.tables.items()))
+        return df.select("*", *(_literal(df.sparkSession, v).alias(f"{k}_") for k, v in self.tables.items()))
 
     def let(self, body: str) -> str:
         for k in self.tables:
