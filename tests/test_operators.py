@@ -2,6 +2,7 @@ import itertools
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -177,3 +178,22 @@ def test_sketches_in_chunks_and_pairs_in_blocks(spark, monkeypatch):
     other = sketch.where("seq_id < 's2'")
     assert {(r.a_id, r.b_id) for r in K.sketch_jaccard(other, sketch).collect()} == {p for p in pairs if p[0] < "s2"}
     assert K.sketch_jaccard(sketch.limit(0), sketch).count() == 0
+
+
+def test_sketches_against_themselves_are_dealt_once_for_each_block(spark, monkeypatch):
+    """Two blocks meet in one task, which gives both orders of their pairs: n blocks make n (n + 1) / 2 tasks and n copies of each sketch."""
+    tasks = 3 * spark.sparkContext.defaultParallelism
+    blocks = next(n for n in itertools.count(1) if n * (n + 1) // 2 >= tasks)
+    sketch = spark.createDataFrame([(i, h) for i in range(200) for h in (i % 7, 100 + i % 11, 1000 + i)] + [(None, 1)], "seq_id long, hash long").localCheckpoint()
+    sets = {i: {i % 7, 100 + i % 11, 1000 + i} for i in range(200)}
+    want = {(a, b): len(x & y) / len(x | y) for a, x in sets.items() for b, y in sets.items() if x & y}
+    rows = K.sketch_jaccard(sketch, sketch).collect()
+    assert len(rows) == len(want) and {(r.a_id, r.b_id): r.jaccard for r in rows} == want
+    assert K.sketch_jaccard(*[sketch.limit(0)] * 2).count() == 0
+
+    def dealt(batches, **_):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([0]), pa.array([0]), pa.array([float(len(b))])], names=["a_id", "b_id", "jaccard"])
+
+    monkeypatch.setattr(K, "_shared", dealt)
+    assert sum(r.jaccard for r in K.sketch_jaccard(sketch, sketch).collect()) == 200 * blocks
